@@ -27,7 +27,7 @@ def repeated_templates(lines: DataFrame, pages_of: DataFrame, min_pages: int = M
     ``lines`` are rows of ``page_lines``; ``pages_of`` has ``project`` and its number of pages ``of``. Pages are counted
     once however often a line or a page is repeated. Ties between templates of one leaf go to the smaller path.
     """
-    long = lines.where((F.col("letters") >= min_letters - _HIDDEN) & (F.col("tokens") > 0))
+    long = lines.where((F.col("b") >= 0) & (F.col("letters") >= min_letters - _HIDDEN) & (F.col("tokens") > 0))
     leaves = (
         long.select("pos", F.explode(F.array("path", "front", "back")).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
         .where((F.col("n") >= min_pages) & (F.col("lo") < F.col("hi"))).select("leaf")
@@ -72,7 +72,7 @@ def repeated_lines(lines: DataFrame, pages: DataFrame, **limits) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "ocr_page")
     lines = stage(page_lines(pages))
-    return repeated_lines(lines, pages).select("project", "pos", "b").distinct()
+    return repeated_lines(lines, pages).where("b >= 0").select("project", "pos", "b").distinct()
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ _LIMIT = 0x30000
 _HANGUL = range(0xAC00, 0xD7A4)
 
 
+@cache
 def _parts(ch: str) -> str | None:
     """What ``ch`` becomes: '' for a mark that prints nothing, ' ' for a blank, its full decomposition, or None."""
     kind = unicodedata.category(ch)
@@ -35,7 +36,7 @@ def _parts(ch: str) -> str | None:
         return ""
     if kind in ("Zs", "Zl", "Zp") or ch in "\t\n\r\x0b\x0c\x85":
         return " "
-    if not unicodedata.decomposition(ch) or ord(ch) in _HANGUL:
+    if not unicodedata.decomposition(ch) or ord(ch) in _HANGUL or ch == "№":
         return None
     out = unicodedata.normalize("NFKD", ch)
     return None if out[0] == " " and len(out) > 1 else out
@@ -77,6 +78,8 @@ def compositions() -> tuple[tuple[str, str], ...]:
 
 def plain(s: str) -> str:
     """One string's print form, folded to Latin shapes; the same rules as the operator, for vocabularies within a task."""
+    if s.isascii() and "'" not in s and "`" not in s:
+        return s
     out: list[str] = []
     for ch in s:
         parts = _parts(ch)

@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leafmill.llm import glyphs
 from leafmill.llm.ragged import rows
@@ -31,7 +33,7 @@ _CELL = regex.compile(r"^\(?[\d][\d.,:/%°]*\)?$|^[—–-]$")
 _ENUM = regex.compile(r"^\(?(\d{1,3}|\p{L})[.)]$|^[•*–·▪◦●○■□‣-]$")
 _LEADER = regex.compile(r"(\.{4,}|(\. ){3,}|…{2,}|·{4,}|_{4,})[ .]*(\d+|[ivxlc]+)?$")
 _INDEXED = regex.compile(r"^[^,;]{1,40}[,;] .*\p{L}.*?[ ,]\d+(–\d+)?(, ?\d+(–\d+)?)+\.?$")
-_READABLE = regex.compile(r"^[^\p{L}\p{N}]{0,3}(\p{Lu}?\p{Ll}[\p{Ll}ʻʼ'-]+|\p{Lu}{3,})[^\p{L}]{0,3}$|^[\p{L}ʻʼ]{4,}[\p{L}\p{P}]*$")
+_READABLE = regex.compile(r"^[«\"“„'(\[—-]{0,2}(\p{Lu}?[\p{Ll}--[ı]][\p{Ll}ʻʼ'’-]+|\p{Lu}[\p{Lu}ʻʼ'’-]+)([^\p{L}].*)?$", regex.V1)
 _LETTERS = regex.compile(r"[^\p{L}]+|[ʻʼ]+")
 _EDGES = regex.compile(r"^[^\p{L}\p{N}|!]+|[^\p{L}\p{N}|!]+$")
 _LIMIT = 400_000
@@ -39,8 +41,11 @@ _LIMIT = 400_000
 _CASELESS = str.maketrans({c.lower(): l.lower() for c, l in glyphs.TO_LATIN.items()})
 
 
+@lru_cache(4096)
 def roman(n: int) -> str:
-    """``n`` in small Roman numerals, 1 to 399."""
+    """``n`` in small Roman numerals; beyond 399 none is expected in print and the result is ``?``."""
+    if n >= 400:
+        return "?"
     out = ""
     for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
         out += sign * (n // value)
@@ -62,7 +67,7 @@ def shows_page(tokens: list[str], pos: int) -> bool:
     labels = 0
     number = False
     for c in cores:
-        if not number and (as_number(c) == pos + 1 or _is_roman(c.lower(), pos + 1)):
+        if not number and (as_number(c) == pos + 1 or (roman_core(c) == roman(pos + 1))):
             number = True
         elif regex.fullmatch(r"\p{L}{1,6}", c):
             labels += 1
@@ -71,9 +76,10 @@ def shows_page(tokens: list[str], pos: int) -> bool:
     return number and labels <= 1
 
 
-def _is_roman(core: str, n: int) -> bool:
-    """Whether ``core`` shows ``n`` in Roman numerals; 1 or | may stand for i, and letters of another script for theirs."""
-    return n < 400 and core.translate(_ROMAN_FOR) == roman(n)
+def roman_core(core: str) -> str | None:
+    """``core`` in small Roman numerals if it can be read so; 1 or | may stand for i, and letters of another script for theirs."""
+    got = core.lower().translate(_ROMAN_FOR) if len(core) <= 12 else ""
+    return got if got and not got.strip("ivxlc") else None
 
 
 _ROMAN_FOR = str.maketrans({"1": "i", "|": "i", "!": "i", "ı": "i", "х": "x", "с": "c", "і": "i", "у": "v", "y": "v"})
@@ -86,7 +92,7 @@ class Words:
         self.known: dict[str, tuple] = {}
 
     def __call__(self, t: str) -> tuple:
-        """(print form, key without digits and signs, letters, is a number cell, is readable, symbols, form without edge signs)."""
+        """(print form, key without digits and signs, letters, is a number cell, is readable, symbols, form without edge signs, length, number shown, Roman numeral shown)."""
         got = self.known.get(t)
         if got is None:
             if len(self.known) >= _LIMIT:
@@ -94,32 +100,39 @@ class Words:
             form = glyphs.plain(t)
             core = _EDGES.sub("", form)
             key = _LETTERS.sub("", unicodedata.normalize("NFD", form.lower()).translate(_CASELESS)) or ("#" if core else "")
-            got = self.known[t] = (
-                form, key, sum(map(str.isalpha, form)) - form.count("ʻ") - form.count("ʼ"), bool(_CELL.match(form)), bool(_READABLE.match(form)),
-                sum(not c.isalnum() and c not in "ʻʼ.,-!?…" for c in form), core,
-            )
+            letters = sum(map(str.isalpha, form)) - form.count("ʻ") - form.count("ʼ")
+            got = self.known[t] = (form, key, letters, bool(_CELL.match(form)), letters >= 3 and bool(_READABLE.match(form)), sum(not c.isalnum() and c not in "ʻʼ.,-!?…" for c in form), core, len(form), as_number(core) if len(core) <= 6 else None, roman_core(core))
         return got
 
 
 def kind_of(seen: list[tuple], pos: int) -> str:
     """``page``, ``table``, ``list``, ``junk`` or ``prose``: what a line is, by its words alone."""
-    forms = [w[0] for w in seen if w[0] and w[0] not in ("|", "¦")]
-    if not forms:
+    cells = readable = blank = 0
+    for w in seen:
+        cells += w[3]
+        readable += w[4]
+        blank += w[7] == 0 or w[0] in "|¦"
+    n = len(seen) - blank
+    if not n:
         return "junk"
-    if shows_page(forms, pos):
+    if n <= 4 and shows_page([w[0] for w in seen], pos):
         return "page"
-    cells = sum(w[3] for w in seen)
-    readable = sum(w[4] for w in seen)
-    text = " ".join(forms)
-    if len(forms) > 1 and readable and (_LEADER.search(text) or (_ENUM.match(forms[0]) and (readable >= 1)) or _INDEXED.match(text)):
-        return "list"
-    if cells >= 2 and _CELL.match(forms[-1]) and 2 * cells >= len(forms) and readable + cells >= len(forms) - 2:
+    first, last = seen[0][0], seen[-1][0]
+    if readable and n > 1:
+        if len(first) <= 5 and _ENUM.match(first):
+            return "list"
+        if last[-1:].isalnum() or last[-1:] in ".…_·":
+            text = " ".join([w[0] for w in seen])
+            if ("..." in text or "…" in text or ". . ." in text or "__" in text) and _LEADER.search(text):
+                return "list"
+            if cells and last[:1].isdecimal() and _INDEXED.match(text):
+                return "list"
+    if cells >= 2 and 2 * cells >= n and _CELL.match(last):
         return "table"
-    if readable == 0:
-        letters = sum(w[2] for w in seen)
-        chars = sum(len(f) for f in forms)
-        if letters < 0.75 * chars or chars <= 3:
-            return "junk" if not all(f.isdigit() for f in forms) else "prose"
+    if not readable:
+        chars = sum([w[7] for w in seen])
+        if (sum([w[2] for w in seen]) < 0.75 * chars or chars <= 3) and cells < n:
+            return "junk"
     return "prose"
 
 
@@ -134,19 +147,24 @@ def key_tokens(seen: list[tuple], pos: int) -> list[str]:
 
 
 def _added(word: tuple, pos: int) -> bool:
-    core = word[6]
-    return not core or core.strip("|!").isdecimal() or as_number(core) == pos + 1 or _is_roman(core.lower(), pos + 1)
+    return not word[6] or word[8] == pos + 1 or word[6].strip("|!").isdecimal() or (word[9] is not None and word[9] == roman(pos + 1))
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+def _hash(path: str) -> int:
+    return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
         out: list[tuple] = []
-        for project, pos, ts, bs in rows(batch, ("t", "b"), ("project", "pos")):
+        for project, pos, ts, bs, texts in rows(batch, ("t", "b", "texts"), ("project", "pos")):
+            w0 = 0
+            if texts:
+                whole = [line for text in texts for line in (text or "").split("\n") if line.strip()]
+                ts = [w for line in whole for w in line.split()]
+                bs = [-1 - k for k, line in enumerate(whole) for _ in line.split()]
+                w0 = None
             starts = [i for i in range(len(bs)) if i == 0 or bs[i] != bs[i - 1]] + [len(bs)]
             n = len(starts) - 1
             for ln in range(n):
@@ -154,11 +172,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen = [words(t or "") for t in ts[i:j]]
                 tokens = key_tokens(seen, pos)
                 half = (len(tokens) + 1) // 2
-                size = str(len(tokens))
                 last = seen[-1][0][-1:]
+                key = " ".join(tokens)
+                stem = f"{project} {len(tokens)} "
                 out.append((
-                    project, pos, bs[i], ln, n, i, j - i, sum(w[2] for w in seen), kind_of(seen, pos), sum(w[5] for w in seen), sum(len(w[0]) for w in seen), last in ".!?…»\"”:;", len(tokens), " ".join(tokens),
-                    _hash(project or "", size, "*", *tokens), _hash(project or "", size, "front", *tokens[:half]), _hash(project or "", size, "back", *tokens[half:]),
+                    project, pos, bs[i], ln, n, i if w0 == 0 else -1, j - i, sum([w[2] for w in seen]), kind_of(seen, pos), sum([w[5] for w in seen]), sum([w[7] for w in seen]), last in ".!?…»\"”:;", len(tokens), key,
+                    _hash(stem + key), _hash(stem + "front " + " ".join(tokens[:half])), _hash(stem + "back " + " ".join(tokens[half:])),
                 ))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)] if out else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
 
@@ -166,6 +185,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def page_lines(pages: DataFrame) -> DataFrame:
     """One row per printed line: its place, its kind, its measures, its template key and the paths to its three leaves.
 
-    Null or empty ``words`` give no lines; null texts count as ''; rows repeated in ``pages`` are repeated here.
+    Where ``words`` is null or empty the lines of the block texts stand in, with ``b`` below 0 and ``w0`` -1; null texts
+    count as ''; rows repeated in ``pages`` are repeated here; a page without any text gives no line.
     """
-    return pages.select("project", "pos", pages["words"]["t"].alias("t"), pages["words"]["b"].alias("b")).mapInArrow(_lines, LINES)
+    texts = F.transform("blocks", lambda k: F.concat_ws("", F.transform(F.coalesce(k["spans"], F.array()), lambda s: s["text"])))
+    return pages.select("project", "pos", pages["words"]["t"].alias("t"), pages["words"]["b"].alias("b"), F.when(F.coalesce(F.size("words"), F.lit(0)) <= 0, texts).alias("texts")).mapInArrow(_lines, LINES)
