@@ -37,6 +37,8 @@ _READABLE = regex.compile(r"^[«\"“„'(\[—-]{0,2}(\p{Lu}?[\p{Ll}--[ı]][\p{
 _LETTERS = regex.compile(r"[^\p{L}]+|[ʻʼ]+")
 _EDGES = regex.compile(r"^[^\p{L}\p{N}|!]+|[^\p{L}\p{N}|!]+$")
 _LIMIT = 400_000
+_RUN = 4
+_STOPS = frozenset(".!?…,;:-‐¬­")
 #: Small letters whose capitals have one shape, so that a key is the same in either case.
 _CASELESS = str.maketrans({c.lower(): l.lower() for c, l in glyphs.TO_LATIN.items()})
 
@@ -85,6 +87,17 @@ def roman_core(core: str) -> str | None:
 _ROMAN_FOR = str.maketrans({"1": "i", "|": "i", "!": "i", "ı": "i", "х": "x", "с": "c", "і": "i", "у": "v", "y": "v"})
 
 
+_VOWELS = re.compile("[aeiouyаеёиоуўыэюяıъь]")
+_HARSH = re.compile("[^aeiouyаеёиоуўыэюяıъь]{5,}")
+
+
+def pronounceable(form: str, key: str) -> bool:
+    """Whether a word is of one script and has vowels between its consonants: random letters mostly have not."""
+    latin = any(c.isascii() and c.isalpha() and c not in glyphs.TO_CYRILLIC for c in form)
+    cyrillic = any("Ѐ" <= c <= "ԯ" for c in form)
+    return not (latin and cyrillic) and len(_VOWELS.findall(key)) * 6 >= len(key) and not _HARSH.search(key)
+
+
 class Words:
     """What is needed of a word, kept by spelling; bounded."""
 
@@ -101,7 +114,7 @@ class Words:
             core = _EDGES.sub("", form)
             key = _LETTERS.sub("", unicodedata.normalize("NFD", form.lower()).translate(_CASELESS)) or ("#" if core else "")
             letters = sum(map(str.isalpha, form)) - form.count("ʻ") - form.count("ʼ")
-            got = self.known[t] = (form, key, letters, bool(_CELL.match(form)), letters >= 3 and bool(_READABLE.match(form)), sum(not c.isalnum() and c not in "ʻʼ.,-!?…" for c in form), core, len(form), as_number(core) if len(core) <= 6 else None, roman_core(core))
+            got = self.known[t] = (form, key, letters, bool(_CELL.match(form)), letters >= 3 and bool(_READABLE.match(form)) and pronounceable(form, key), sum(not c.isalnum() and c not in "ʻʼ.,-!?…" for c in form), core, len(form), as_number(core) if len(core) <= 6 else None, roman_core(core))
         return got
 
 
@@ -129,9 +142,13 @@ def kind_of(seen: list[tuple], pos: int) -> str:
                 return "list"
     if cells >= 2 and 2 * cells >= n and _CELL.match(last):
         return "table"
-    if not readable:
+    if cells < n and 3 * readable < n - cells:
+        letters = sum([w[2] for w in seen])
         chars = sum([w[7] for w in seen])
-        if (sum([w[2] for w in seen]) < 0.75 * chars or chars <= 3) and cells < n:
+        if readable == 0 and (letters < 0.75 * chars or chars <= 3):
+            return "junk"
+        wordlike = sum([w[2] >= 3 for w in seen])
+        if n >= 3 and (letters < 0.6 * chars or 3 * readable < wordlike):
             return "junk"
     return "prose"
 
@@ -146,6 +163,22 @@ def key_tokens(seen: list[tuple], pos: int) -> list[str]:
     return [w[1] for w in seen[a:b] if w[1]]
 
 
+def phrases(kinds: list[str], firsts: list[str], texts: list[list[tuple]]) -> None:
+    """Turn ``prose`` lines that are unmarked list entries to ``list``: at least ``_RUN`` in a row, each a separate phrase.
+
+    A phrase begins with a capital or a digit, holds no sentence punctuation and is not continued in small letters by the next line.
+    """
+    run: list[int] = []
+    for i, kind in enumerate([*kinds, ""]):
+        if kind == "prose" and len(texts[i]) <= 9 and not firsts[i].islower() and firsts[i].isalnum() and not (i + 1 < len(kinds) and firsts[i + 1].islower()) and not any(w[0][-1:] in _STOPS for w in texts[i]):
+            run.append(i)
+        elif kind != "page":
+            if len(run) >= _RUN:
+                for j in run:
+                    kinds[j] = "list"
+            run = []
+
+
 def _added(word: tuple, pos: int) -> bool:
     return not word[6] or word[8] == pos + 1 or word[6].strip("|!").isdecimal() or (word[9] is not None and word[9] == roman(pos + 1))
 
@@ -167,16 +200,18 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w0 = None
             starts = [i for i in range(len(bs)) if i == 0 or bs[i] != bs[i - 1]] + [len(bs)]
             n = len(starts) - 1
-            for ln in range(n):
-                i, j = starts[ln], starts[ln + 1]
-                seen = [words(t or "") for t in ts[i:j]]
+            seens = [[words(t or "") for t in ts[starts[ln] : starts[ln + 1]]] for ln in range(n)]
+            kinds = [kind_of(seen, pos) for seen in seens]
+            phrases(kinds, [seen[0][6][:1] or "." for seen in seens], seens)
+            for ln, seen in enumerate(seens):
+                i = starts[ln]
                 tokens = key_tokens(seen, pos)
                 half = (len(tokens) + 1) // 2
                 last = seen[-1][0][-1:]
                 key = " ".join(tokens)
                 stem = f"{project} {len(tokens)} "
                 out.append((
-                    project, pos, bs[i], ln, n, i if w0 == 0 else -1, j - i, sum([w[2] for w in seen]), kind_of(seen, pos), sum([w[5] for w in seen]), sum([w[7] for w in seen]), last in ".!?…»\"”:;", len(tokens), key,
+                    project, pos, bs[i], ln, n, i if w0 == 0 else -1, len(seen), sum([w[2] for w in seen]), kinds[ln], sum([w[5] for w in seen]), sum([w[7] for w in seen]), last in ".!?…»\"”:;", len(tokens), key,
                     _hash(stem + key), _hash(stem + "front " + " ".join(tokens[:half])), _hash(stem + "back " + " ".join(tokens[half:])),
                 ))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)] if out else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
