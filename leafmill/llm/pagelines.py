@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from leafmill.llm import glyphs
 from leafmill.llm.ragged import rows
 
-LINES = "project string, pos int, b int, ln int, nl int, w0 int, nw int, letters int, kind string, symbols int, chars int, ended boolean, tokens int, key string, path long, front long, back long"
+LINES = "project string, pos int, b int, ln int, nl int, w0 int, nw int, letters int, kind string, symbols int, chars int, ended boolean, tokens int, key string, path long, front long, back long, first string, last string"
 _ARROW = pa.schema([
     ("project", pa.string()), ("pos", pa.int32()), ("b", pa.int32()), ("ln", pa.int32()), ("nl", pa.int32()), ("w0", pa.int32()), ("nw", pa.int32()), ("letters", pa.int32()), ("kind", pa.string()), ("symbols", pa.int32()),
     ("chars", pa.int32()), ("ended", pa.bool_()), ("tokens", pa.int32()), ("key", pa.string()), ("path", pa.int64()), ("front", pa.int64()), ("back", pa.int64()),
+    ("first", pa.string()), ("last", pa.string()),
 ])
 
 # Letters and signs that a digit is misread as.
@@ -212,7 +213,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stem = f"{project} {len(tokens)} "
                 out.append((
                     project, pos, bs[i], ln, n, i if w0 == 0 else -1, len(seen), sum([w[2] for w in seen]), kinds[ln], sum([w[5] for w in seen]), sum([w[7] for w in seen]), last in ".!?…»\"”:;", len(tokens), key,
-                    _hash(stem + key), _hash(stem + "front " + " ".join(tokens[:half])), _hash(stem + "back " + " ".join(tokens[half:])),
+                    _hash(stem + key), _hash(stem + "front " + " ".join(tokens[:half])), _hash(stem + "back " + " ".join(tokens[half:])), ts[i], ts[i + len(seen) - 1],
                 ))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)] if out else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
 
