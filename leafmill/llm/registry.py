@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("lookalike", "boilerplate", "quality", "repair")
+_MODULES = ("lookalike", "boilerplate", "quality", "repair", "languages")
 
 
 def queries() -> dict:
