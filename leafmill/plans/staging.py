@@ -30,7 +30,7 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and executors may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
