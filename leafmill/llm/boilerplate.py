@@ -29,14 +29,13 @@ def repeated_templates(lines: DataFrame, pages_of: DataFrame, min_pages: int = M
     """
     long = lines.where((F.col("b") >= 0) & (F.col("letters") >= min_letters - _HIDDEN) & (F.col("tokens") > 0))
     leaves = (
-        long.select("pos", F.explode(F.array("path", "front", "back")).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+        long.select("pos", F.explode(F.array("front", "back")).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
         .where((F.col("n") >= min_pages) & (F.col("lo") < F.col("hi"))).select("leaf")
     )
     leaves = small(leaves)
-    near = long.select("project", "pos", "path", "key", "letters", F.explode(F.array("path", "front", "back")).alias("leaf")).join(leaves, "leaf", "left_semi")
-    at = near.select("project", "path", "pos", "key", "letters").groupBy("project", "path", "pos").agg(F.min("key").alias("key"), F.max("letters").alias("letters"))
-    at = stage(at)
-    keys = at.groupBy("project", "path").agg(F.min("key").alias("key"), F.count("*").alias("pages"))
+    near = long.select("project", "pos", "path", "key", "letters", F.explode(F.array("front", "back")).alias("leaf")).join(leaves, "leaf", "left_semi")
+    at = stage(near.groupBy("project", "path", "pos", "key").agg(F.max("letters").alias("letters")))
+    keys = at.groupBy("project", "path", "key").agg(F.count("*").alias("pages"))
     words = F.split("key", " ")
     slots = keys.select("project", "path", "pages", F.posexplode(words).alias("i", "word"), words.alias("all")).select(
         "project", "path", "pages", "word",

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 import regex
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from leafmill.llm import glyphs
 from leafmill.llm.ragged import rows
 
-LINES = "project string, pos int, b int, ln int, nl int, w0 int, nw int, letters int, kind string, symbols int, chars int, ended boolean, tokens int, key string, path long, front long, back long, first string, last string"
+LINES = "project string, pos int, b int, ln int, nl int, w0 int, nw int, letters int, kind string, symbols int, chars int, ended boolean, common int, tokens int, key string, path long, front long, back long, first string, last string"
 _ARROW = pa.schema([
     ("project", pa.string()), ("pos", pa.int32()), ("b", pa.int32()), ("ln", pa.int32()), ("nl", pa.int32()), ("w0", pa.int32()), ("nw", pa.int32()), ("letters", pa.int32()), ("kind", pa.string()), ("symbols", pa.int32()),
-    ("chars", pa.int32()), ("ended", pa.bool_()), ("tokens", pa.int32()), ("key", pa.string()), ("path", pa.int64()), ("front", pa.int64()), ("back", pa.int64()),
+    ("chars", pa.int32()), ("ended", pa.bool_()), ("common", pa.int32()), ("tokens", pa.int32()), ("key", pa.string()), ("path", pa.int64()), ("front", pa.int64()), ("back", pa.int64()),
     ("first", pa.string()), ("last", pa.string()),
 ])
 
@@ -39,6 +39,10 @@ _LETTERS = regex.compile(r"[^\p{L}]+|[ʻʼ]+")
 _EDGES = regex.compile(r"^[^\p{L}\p{N}|!]+|[^\p{L}\p{N}|!]+$")
 _LIMIT = 400_000
 _RUN = 4
+#: Lines of fewer letters get no template: they are far too short to count as repeated lines.
+_KEYED = 10
+_HYPHENS = "-‐‑¬\u00ad"
+_NOTHING = "\u200b\u200c\u200d\u2060\ufeff"
 _STOPS = frozenset(".!?…,;:-‐¬­")
 #: Small letters whose capitals have one shape, so that a key is the same in either case.
 _CASELESS = str.maketrans({c.lower(): l.lower() for c, l in glyphs.TO_LATIN.items()})
@@ -88,68 +92,85 @@ def roman_core(core: str) -> str | None:
 _ROMAN_FOR = str.maketrans({"1": "i", "|": "i", "!": "i", "ı": "i", "х": "x", "с": "c", "і": "i", "у": "v", "y": "v"})
 
 
+_MARKS = re.compile("[̀-ͯ]")
+_ACCENTED = re.compile("[à-žș-ỿйёўѝї̀-ͯ]")
 _VOWELS = re.compile("[aeiouyаеёиоуўыэюяıъь]")
+_LATIN = re.compile("[" + "".join(c for c in map(chr, range(65, 123)) if c.isalpha() and c not in glyphs.TO_CYRILLIC) + "]")
+_CYRILLIC = re.compile("[Ѐ-ԯ]")
 _HARSH = re.compile("[^aeiouyаеёиоуўыэюяıъь]{5,}")
 
 
 def pronounceable(form: str, key: str) -> bool:
     """Whether a word is of one script and has vowels between its consonants: random letters mostly have not."""
-    latin = any(c.isascii() and c.isalpha() and c not in glyphs.TO_CYRILLIC for c in form)
-    cyrillic = any("Ѐ" <= c <= "ԯ" for c in form)
-    return not (latin and cyrillic) and len(_VOWELS.findall(key)) * 6 >= len(key) and not _HARSH.search(key)
+    return not (not form.isascii() and _CYRILLIC.search(form) and _LATIN.search(form)) and len(_VOWELS.findall(key)) * 6 >= len(key) and not _HARSH.search(key)
 
 
 class Words:
     """What is needed of a word, kept by spelling; bounded."""
 
-    def __init__(self) -> None:
+    def __init__(self, common: frozenset[str] = frozenset()) -> None:
         self.known: dict[str, tuple] = {}
+        self.common = common
 
     def __call__(self, t: str) -> tuple:
-        """(print form, key without digits and signs, letters, is a number cell, is readable, symbols, form without edge signs, length, number shown, Roman numeral shown)."""
+        """(print form, key without digits and signs, letters, is a number cell, is readable, symbols, form without edge signs, length, number shown, Roman numeral shown, is a common word)."""
         got = self.known.get(t)
         if got is None:
             if len(self.known) >= _LIMIT:
                 self.known.clear()
             form = glyphs.plain(t)
-            core = _EDGES.sub("", form)
-            key = _LETTERS.sub("", unicodedata.normalize("NFD", form.lower()).translate(_CASELESS)) or ("#" if core else "")
-            letters = sum(map(str.isalpha, form)) - form.count("ʻ") - form.count("ʼ")
-            got = self.known[t] = (form, key, letters, bool(_CELL.match(form)), letters >= 3 and bool(_READABLE.match(form)) and pronounceable(form, key), sum(not c.isalnum() and c not in "ʻʼ.,-!?…" for c in form), core, len(form), as_number(core) if len(core) <= 6 else None, roman_core(core))
+            lowered = form.lower()
+            if not lowered.isascii():
+                lowered = (_MARKS.sub("", unicodedata.normalize("NFD", lowered)) if _ACCENTED.search(lowered) else lowered).translate(_CASELESS)
+            marks = form.count(glyphs.TURNED_COMMA) + form.count(glyphs.TUTUQ)
+            if form.isalpha():
+                core, key, letters, symbols, cell = form, lowered, len(form) - marks, 0, False
+            else:
+                core = _EDGES.sub("", form)
+                key = _LETTERS.sub("", lowered) or ("#" if core else "")
+                letters = sum(map(str.isalpha, form)) - marks
+                symbols = sum(not c.isalnum() and c not in "ʻʼ.,-!?…" for c in form)
+                cell = bool(_CELL.match(form))
+            if marks:
+                key = _LETTERS.sub("", key)
+            short = len(core) <= 3 or (len(core) <= 6 and not core.isalpha())
+            got = self.known[t] = (form, key, letters, cell, letters >= 3 and bool(_READABLE.match(form)) and pronounceable(form, key), symbols, core, len(form), as_number(core) if short else None, roman_core(core), key in self.common)
         return got
 
 
 def kind_of(seen: list[tuple], pos: int) -> str:
     """``page``, ``table``, ``list``, ``junk`` or ``prose``: what a line is, by its words alone."""
-    cells = readable = blank = 0
-    for w in seen:
-        cells += w[3]
-        readable += w[4]
-        blank += w[7] == 0 or w[0] in "|¦"
-    n = len(seen) - blank
-    if not n:
+    return _kind(seen, tuple(zip(*seen)), pos)
+
+
+def _kind(seen: list[tuple], columns: tuple[tuple, ...], pos: int) -> str:
+    forms, _, letters_of, cell, plain_words, _, _, lengths, *_ = columns
+    n = len(forms) - lengths.count(0)
+    if "|" in forms or "¦" in forms:
+        n -= forms.count("|") + forms.count("¦")
+    if n <= 0:
         return "junk"
-    if n <= 4 and shows_page([w[0] for w in seen], pos):
+    if n <= 4 and shows_page(forms, pos):
         return "page"
-    first, last = seen[0][0], seen[-1][0]
+    first, last = forms[0], forms[-1]
+    cells, readable = sum(cell), sum(plain_words)
     if readable and n > 1:
         if len(first) <= 5 and _ENUM.match(first):
             return "list"
-        if last[-1:].isalnum() or last[-1:] in ".…_·":
-            text = " ".join([w[0] for w in seen])
+        end = last[-1:]
+        if end.isdecimal() or end in ".…_·" or (cells and end.isalnum()):
+            text = " ".join(forms)
             if ("..." in text or "…" in text or ". . ." in text or "__" in text) and _LEADER.search(text):
                 return "list"
             if cells and last[:1].isdecimal() and _INDEXED.match(text):
                 return "list"
-    if cells >= 2 and 2 * cells >= n and _CELL.match(last):
+    if cells >= 2 and 2 * cells >= n and cell[-1]:
         return "table"
     if cells < n and 3 * readable < n - cells:
-        letters = sum([w[2] for w in seen])
-        chars = sum([w[7] for w in seen])
+        letters, chars = sum(letters_of), sum(lengths)
         if readable == 0 and (letters < 0.75 * chars or chars <= 3):
             return "junk"
-        wordlike = sum([w[2] >= 3 for w in seen])
-        if n >= 3 and (letters < 0.6 * chars or 3 * readable < wordlike):
+        if n >= 3 and (letters < 0.6 * chars or 3 * readable < sum([k >= 3 for k in letters_of])):
             return "junk"
     return "prose"
 
@@ -188,8 +209,12 @@ def _hash(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
+_WORDS: dict[frozenset[str], Words] = {}
+
+
+def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = _WORDS.setdefault(common, Words(common))  # kept from task to task of a worker
+    known = words.known
     for batch in batches:
         out: list[tuple] = []
         for project, pos, ts, bs, texts in rows(batch, ("t", "b", "texts"), ("project", "pos")):
@@ -199,30 +224,49 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ts = [w for line in whole for w in line.split()]
                 bs = [-1 - k for k, line in enumerate(whole) for _ in line.split()]
                 w0 = None
-            starts = [i for i in range(len(bs)) if i == 0 or bs[i] != bs[i - 1]] + [len(bs)]
-            n = len(starts) - 1
-            seens = [[words(t or "") for t in ts[starts[ln] : starts[ln + 1]]] for ln in range(n)]
-            kinds = [kind_of(seen, pos) for seen in seens]
+            starts = [i for i in range(len(bs)) if i == 0 or bs[i] != bs[i - 1]]
+            n = len(starts)
+            starts.append(len(bs))
+            all_words = [known.get(t) or words(t or "") for t in ts]
+            seens = [all_words[starts[ln] : starts[ln + 1]] for ln in range(n)]
+            columns = [tuple(zip(*seen)) for seen in seens]
+            kinds = [_kind(seen, c, pos) for seen, c in zip(seens, columns)]
             phrases(kinds, [seen[0][6][:1] or "." for seen in seens], seens)
-            for ln, seen in enumerate(seens):
+            for ln, (seen, c) in enumerate(zip(seens, columns)):
                 i = starts[ln]
                 tokens = key_tokens(seen, pos)
-                half = (len(tokens) + 1) // 2
-                last = seen[-1][0][-1:]
+                end = seen[-1][0][-1:]
+                letters = sum(c[2])
                 key = " ".join(tokens)
-                stem = f"{project} {len(tokens)} "
+                last = ts[i + len(seen) - 1]
+                if letters >= _KEYED and tokens:
+                    half = (len(tokens) + 1) // 2
+                    stem = f"{project} {len(tokens)} "
+                    paths = (_hash(stem + key), _hash(stem + "front " + " ".join(tokens[:half])), _hash(stem + "back " + " ".join(tokens[half:])))
+                else:
+                    key, paths, tokens = "", (0, 0, 0), ()
                 out.append((
-                    project, pos, bs[i], ln, n, i if w0 == 0 else -1, len(seen), sum([w[2] for w in seen]), kinds[ln], sum([w[5] for w in seen]), sum([w[7] for w in seen]), last in ".!?…»\"”:;", len(tokens), key,
-                    _hash(stem + key), _hash(stem + "front " + " ".join(tokens[:half])), _hash(stem + "back " + " ".join(tokens[half:])), ts[i], ts[i + len(seen) - 1],
+                    project, pos, bs[i], ln, n, i if w0 == 0 else -1, len(seen), letters, kinds[ln], sum(c[5]), sum(c[7]), end in ".!?…»\"”:;", sum(c[10]), len(tokens), key,
+                    *paths, ts[i], last if last and (last[-1] in _HYPHENS or last.rstrip(_NOTHING)[-1:] in _HYPHENS) else None,
                 ))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)] if out else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
+def page_lines(pages: DataFrame, common_words: frozenset[str] = frozenset()) -> DataFrame:
     """One row per printed line: its place, its kind, its measures, its template key and the paths to its three leaves.
 
-    Where ``words`` is null or empty the lines of the block texts stand in, with ``b`` below 0 and ``w0`` -1; null texts
+    ``common`` counts words whose key is among ``common_words``; ``last`` is the last word where it ends in a hyphen. Where
+    ``words`` is null or empty the lines of the block texts stand in, with ``b`` below 0 and ``w0`` -1; null texts
     count as ''; rows repeated in ``pages`` are repeated here; a page without any text gives no line.
     """
     texts = F.transform("blocks", lambda k: F.concat_ws("", F.transform(F.coalesce(k["spans"], F.array()), lambda s: s["text"])))
-    return pages.select("project", "pos", pages["words"]["t"].alias("t"), pages["words"]["b"].alias("b"), F.when(F.coalesce(F.size("words"), F.lit(0)) <= 0, texts).alias("texts")).mapInArrow(_lines, LINES)
+    return pages.select("project", "pos", pages["words"]["t"].alias("t"), pages["words"]["b"].alias("b"), F.when(F.coalesce(F.size("words"), F.lit(0)) <= 0, texts).alias("texts")).mapInArrow(partial(_lines, common_words), LINES)
+
+
+def common_keys(common_words: DataFrame) -> frozenset[str]:
+    """Keys of the frequent small words of a table that does not grow; more than 100,000 words are refused."""
+    words = Words()
+    found = [r["word"] for r in common_words.where("word is not null").select("word").distinct().limit(100_001).collect()]
+    if len(found) > 100_000:
+        raise ValueError("common_words is meant to be a short list")
+    return frozenset(words(w)[1] for w in found)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.llm.boilerplate import page_counts, repeated_templates
-from leafmill.llm.pagelines import Words, page_lines
+from leafmill.llm.pagelines import common_keys, page_lines
 from leafmill.plans.staging import small, stage, table
 
 STATISTICS = ("list_lines", "table_lines", "junk_lines", "symbols", "word_length", "ended", "common", "line_words")
@@ -35,22 +35,19 @@ def main_language(label) -> F.Column:
     return F.when(first.isin("uzb", "uzb_cyrl", "rus", "eng"), first).otherwise("und")
 
 
-def page_statistics(lines: DataFrame, common_words: list[str], repeated: DataFrame) -> DataFrame:
+def page_statistics(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     """One row per page with text: ``STATISTICS`` over its lines, without lines of ``repeated`` templates and page numbers.
 
-    Rows repeated in ``lines`` count once. A page whose lines are all left out gives no row.
+    The shares are those of a page however often its lines are repeated in ``lines``; ``lines`` and ``words`` count them all. A
+    page whose lines are all left out gives no row.
     """
-    words = Words()
-    common = sorted({words(w)[1] for w in common_words})
     own = lines.where("kind <> 'page'").join(repeated, ["project", "path"], "left_anti")
-    known = F.size(F.filter(F.split("key", " "), lambda w: w.isin(*common)))
-    copies = F.count("*") / F.size(F.collect_set("ln"))
     share = lambda c: F.avg(c.cast("int"))
     return own.groupBy("project", "pos").agg(
-        (F.count("*") / copies).cast("int").alias("lines"), (F.sum("nw") / copies).cast("int").alias("words"),
+        F.count("*").alias("lines"), F.sum("nw").alias("words"),
         *(share(F.col("kind") == k).alias(f"{k}_lines") for k in ("list", "table", "junk")),
         (F.sum("symbols") / F.greatest(F.sum("chars"), F.lit(1))).alias("symbols"), (F.sum("letters") / F.greatest(F.sum("nw"), F.lit(1))).alias("word_length"),
-        share(F.col("ended")).alias("ended"), (F.sum(known) / F.greatest(F.sum("nw"), F.lit(1))).alias("common"), F.avg("nw").alias("line_words"),
+        share(F.col("ended")).alias("ended"), (F.sum("common") / F.greatest(F.sum("nw"), F.lit(1))).alias("common"), F.avg("nw").alias("line_words"),
     )
 
 
@@ -81,11 +78,11 @@ def outlier_scores(statistics: DataFrame) -> DataFrame:
     return statistics.join(scores, ["project", "pos"])
 
 
-def scored_pages(pages: DataFrame, lines: DataFrame, repeated: DataFrame, common_words: DataFrame) -> DataFrame:
+def scored_pages(pages: DataFrame, lines: DataFrame, repeated: DataFrame) -> DataFrame:
     """Statistics and outlier scores of every page with text of its own."""
-    words = [r["word"] for r in common_words.where("word is not null").select("word").distinct().limit(100_000).collect()]
-    languages = pages.select("project", "pos", main_language(F.col("language")).alias("grp")).dropDuplicates(["project", "pos"])
-    return outlier_scores(stage(page_statistics(lines, words, repeated).join(languages, ["project", "pos"])))
+    languages = pages.groupBy("project", "pos", main_language(F.col("language")).alias("grp")).agg(F.count("*").alias("copies"))
+    statistics = page_statistics(lines, repeated).join(languages, ["project", "pos"])
+    return outlier_scores(stage(statistics.withColumns({c: (F.col(c) / F.col("copies")).cast("int") for c in ("lines", "words")}).drop("copies")))
 
 
 def page_kinds(scored: DataFrame) -> DataFrame:
@@ -100,6 +97,6 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "ocr_page")
-    lines = stage(page_lines(pages))
+    lines = stage(page_lines(pages, common_keys(table(spark, sf_dir, "common_words"))))
     repeated = small(repeated_templates(lines, page_counts(pages)))
-    return scored_pages(pages, lines, repeated, table(spark, sf_dir, "common_words"))
+    return scored_pages(pages, lines, repeated)

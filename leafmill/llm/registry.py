@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("lookalike", "boilerplate", "quality", "repair", "languages")
+_MODULES = ("lookalike", "boilerplate", "quality", "repair", "languages", "bpe", "packing", "spam")
 
 
 def queries() -> dict:
