@@ -22,7 +22,7 @@ _HIDDEN = 4
 
 
 def repeated_templates(lines: DataFrame, pages_of: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """(project, path) of the templates that stand on many pages of their project.
+    """(path) of the templates that stand on many pages of their project; a path names its project too.
 
     ``lines`` are rows of ``page_lines``; ``pages_of`` has ``project`` and its number of pages ``of``. Pages are counted
     once however often a line or a page is repeated. Ties between templates of one leaf go to the smaller path.
@@ -55,7 +55,7 @@ def repeated_templates(lines: DataFrame, pages_of: DataFrame, min_pages: int = M
     rooted = at.join(roots, ["project", "path"], "left").select("project", "path", "pos", "letters", F.coalesce("root", "path").alias("root"))
     groups = rooted.select("project", "root", "pos", "letters").groupBy("project", "root", "pos").agg(F.max("letters").alias("letters")).groupBy("project", "root").agg(F.count("*").alias("pages"), F.max("letters").alias("letters"))
     held = groups.join(pages_of, "project").where((F.col("pages") >= min_pages) & (F.col("pages") >= F.lit(min_share) * F.col("of")) & (F.col("letters") >= min_letters)).select("project", "root")
-    return rooted.select("project", "path", "root").distinct().join(held, ["project", "root"], "left_semi").select("project", "path")
+    return rooted.select("project", "path", "root").distinct().join(held, ["project", "root"], "left_semi").select("path")
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def page_counts(pages: DataFrame) -> DataFrame:
 def repeated_lines(lines: DataFrame, pages: DataFrame, **limits) -> DataFrame:
     """The rows of ``lines`` whose template is repeated across their project; each row once."""
     found = small(repeated_templates(lines, page_counts(pages), **limits))
-    return lines.where("tokens > 0").join(found, ["project", "path"], "left_semi")
+    return lines.where("tokens > 0").join(found, "path", "left_semi")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

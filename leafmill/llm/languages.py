@@ -242,7 +242,7 @@ class Languages:
         blocks = stage(block_languages(pages, fit_on(pages)))
         lines = blocks.where("single and tokens > 0").withColumn("kind", F.lit("prose"))
         repeated = small(repeated_templates(lines, page_counts(pages)))
-        marked = blocks.join(repeated.withColumn("repeated", F.lit(True)), ["project", "path"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+        marked = blocks.join(repeated.withColumn("repeated", F.lit(True)), "path", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
         self.blocks = stage(marked.select("project", "pos", F.col("b").alias("block_idx"), "type", "letters", "lang", "confidence", "junk", "lines", "repeated").distinct())
         self.page_rows = stage(self._pages())
 

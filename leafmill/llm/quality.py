@@ -41,7 +41,7 @@ def page_statistics(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     The shares are those of a page however often its lines are repeated in ``lines``; ``lines`` and ``words`` count them all. A
     page whose lines are all left out gives no row.
     """
-    own = lines.where("kind <> 'page'").join(repeated, ["project", "path"], "left_anti")
+    own = lines.where("kind <> 'page'").join(repeated, "path", "left_anti")
     share = lambda c: F.avg(c.cast("int"))
     return own.groupBy("project", "pos").agg(
         F.count("*").alias("lines"), F.sum("nw").alias("words"),
