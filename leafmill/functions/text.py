@@ -21,9 +21,10 @@ SINGLE_WORDS = ("u", "U", "o", "a", "A", "и", "И", "в", "В", "с", "С", "к
 # Patterns of page numbers and of chapter heads.
 PAGE_NUMBER = r"^[\s\-–—.·•(\[]*(\d{1,4}|[IVXLCDM]{1,7}|[ivxlcdm]{1,7})[\s\-–—.·•)\]]*$"
 CHAPTER = r"(?iu)^(bob|qism|bo[ʻ'‘’`]?lim|fasl|глава|часть|раздел|бо[бў]|қисм|бўлим|фасл|chapter|part|section)\b.*"
+# Fixed value: white space of a web page, no-break and wide blanks included.
+BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 HYPHENS = "-‐‑¬­"
 
-_NONE = F.lit("")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -128,14 +129,19 @@ def is_chapter(line: Column) -> Column:
     return line.rlike(CHAPTER)
 
 
+def _end(text: Column) -> Column:
+    """Without white space at the end, line breaks included."""
+    return F.regexp_replace(text, r"\s+$", "")
+
+
 def ends_terminal(text: Column) -> Column:
     """a sentence ends here, also within closing quotes."""
-    return F.rtrim(text).rlike(r"[.!?…]$|[.!?…][»\"”)'’]$")
+    return _end(text).rlike(r"[.!?…]$|[.!?…][»\"”)'’]$")
 
 
 def ends_clause(text: Column) -> Column:
     """F34."""
-    return ends_terminal(text) | F.rtrim(text).rlike(r"[:»\"”]$")
+    return ends_terminal(text) | _end(text).rlike(r"[:»\"”]$")
 
 
 def starts_lower(text: Column) -> Column:
@@ -207,10 +213,10 @@ def space_count(text: Column) -> Column:
 
 def statistics(text: Column) -> Column:
     """Q7: words, characters with white space collapsed, characters without, paragraphs."""
-    collapsed = F.trim(F.regexp_replace(text, r"\s+", " "))
+    collapsed = F.trim(F.regexp_replace(text, BLANK + "+", " "))
     return F.struct(
         F.size(F.filter(F.split(collapsed, " "), lambda w: w != "")).alias("words"), F.length(collapsed).alias("chars"),
-        F.length(F.regexp_replace(text, r"\s+", "")).alias("letters"), F.size(F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")).alias("paragraphs"),
+        F.length(F.regexp_replace(text, BLANK + "+", "")).alias("letters"), F.size(F.filter(F.split(text, "\n"), lambda p: F.regexp_replace(p, BLANK + "+", "") != "")).alias("paragraphs"),
     )
 
 

@@ -60,3 +60,15 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hashed_sample(df: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``, those with the smallest hash of ``key``, to fit a model on.
+
+    A bound on the hash, set by the table's count, keeps all but about twice as many from leaving their tasks.
+    """
+    n = max(df.count(), 1)
+    hashed = df.withColumn("_h", F.xxhash64(*key))
+    if n > 2 * rows:
+        hashed = hashed.where(F.col("_h") < int(-(2**63) + 2**64 * (2.0 * rows / n)))
+    return hashed.orderBy("_h").limit(rows).drop("_h")
