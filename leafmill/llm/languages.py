@@ -24,7 +24,7 @@ from leafmill.llm import glyphs
 from leafmill.llm.boilerplate import page_counts, repeated_templates
 from leafmill.llm.pagelines import Words, _hash, key_tokens, kind_of
 from leafmill.llm.ragged import rows
-from leafmill.plans.staging import small, stage, table
+from leafmill.plans.staging import hashed_sample, small, stage, table
 
 # The languages and other spellings of their labels.
 LANGUAGES = ("uzb", "uzb_cyrl", "rus", "eng")
@@ -93,13 +93,19 @@ def bare(t: str) -> str:
     return "".join(c for c in glyphs.script_form(t).lower() if c.isalpha() or c == glyphs.TURNED_COMMA)
 
 
-def fit(texts: list[tuple[str, str]]) -> Trigrams:
-    """Models from (label, text), fitted again by the languages that the first models give to each text."""
+def fit(texts: list[tuple[str, str]], seeds: list[tuple[str, str]] = ()) -> Trigrams:
+    """Models from (label, text), fitted again by the languages that the first models give to each text.
+
+    ``seeds`` are (language, words) that are known to be right; they keep a language in reach that few or no labels name.
+    """
     bags = [(label, Counter(b for t in text.split() if (b := bare(t)))) for label, text in texts]
     known: dict[str, list[float]] = {}
     model = None
     for _ in range(2):
         samples: dict[str, Counter] = {language: Counter() for language in LANGUAGES}
+        for language, words in seeds:
+            if language in samples:
+                samples[language].update(b for t in words.split() if (b := bare(t)))
         for label, bag in bags:
             if model is not None:
                 for word in bag:
@@ -116,11 +122,23 @@ def _texts(blocks: Column) -> Column:
     return F.transform(blocks, lambda k: F.concat_ws("", F.transform(F.coalesce(k["spans"], F.array()), lambda s: s["text"])))
 
 
-def fit_on(pages: DataFrame) -> Trigrams:
-    """Models from at most ``SAMPLE_PAGES`` labelled pages."""
+def seed_words(*tables: DataFrame) -> list[tuple[str, str]]:
+    """(language, words) of lists (lang, word) that do not grow; more than 100,000 rows are refused."""
+    out = []
+    for t in tables:
+        rows_ = t.where("lang is not null and word is not null").select("lang", "word").limit(100_001).collect()
+        if len(rows_) > 100_000:
+            raise ValueError("a list of seeds is meant to be short")
+        out += [(r["lang"], r["word"]) for r in rows_]
+    return out
+
+
+def fit_on(pages: DataFrame, seeds: list[tuple[str, str]] = ()) -> Trigrams:
+    """Models from at most ``SAMPLE_PAGES`` labelled pages, and ``seeds``."""
     label = named_language(F.col("language"))
-    sample = pages.select(label.alias("label"), F.array_join(_texts(F.col("blocks")), " ").alias("text"), F.xxhash64("project", "pos").alias("h")).where("label is not null and length(text) > 100")
-    return fit([(r["label"], r["text"]) for r in sample.orderBy("h").limit(SAMPLE_PAGES).select("label", "text").collect()])
+    sample = hashed_sample(pages.select("project", "pos", "language", "blocks"), ["project", "pos"], SAMPLE_PAGES)
+    texts = sample.select(label.alias("label"), F.array_join(_texts(F.col("blocks")), " ").alias("text")).where("label is not null and length(text) > 100")
+    return fit([(r["label"], r["text"]) for r in texts.collect()], seeds)
 
 
 def mixture(scores: np.ndarray, page: np.ndarray, weight: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,11 +229,12 @@ def _infer(model):
             out = []
             for i, (p, b, kind, text) in enumerate(blocks):
                 project, pos = found[p][:2]
+                at = -9 if pos is None else pos
                 single = "\n" not in text.strip()
                 key, paths, tokens = "", (0, 0, 0), []
-                kinds = [k for line in text.split("\n") if line.strip() and (k := kind_of([words(t) for t in line.split()], pos)) != "page"] if doubtful[p] else []
+                kinds = [k for line in text.split("\n") if line.strip() and (k := kind_of([words(t) for t in line.split()], at)) != "page"] if doubtful[p] else []
                 if single and block_letters[i] >= 10:
-                    tokens = key_tokens([words(t) for t in text.split()], pos)
+                    tokens = key_tokens([words(t) for t in text.split()], at)
                     key, half, stem = " ".join(tokens), (len(tokens) + 1) // 2, f"{project} {len(tokens)} "
                     paths = (_hash(stem + key), _hash(stem + "front " + " ".join(tokens[:half])), _hash(stem + "back " + " ".join(tokens[half:])))
                 out.append((project, pos, b, kind, int(block_letters[i]), LANGUAGES[best[i]] if block_letters[i] else None, float(confidence[i]) if block_letters[i] else 0.0, single, kinds.count("junk"), len(kinds), key, len(tokens), *paths))
@@ -237,9 +256,9 @@ def block_languages(pages: DataFrame, model: Trigrams) -> DataFrame:
 class Languages:
     """Languages of one run over ``pages`` and ``projects``."""
 
-    def __init__(self, pages: DataFrame, projects: DataFrame) -> None:
+    def __init__(self, pages: DataFrame, projects: DataFrame, seeds: list[tuple[str, str]] = ()) -> None:
         self.pages, self.projects = pages, projects
-        blocks = stage(block_languages(pages, fit_on(pages)))
+        blocks = stage(block_languages(pages, fit_on(pages, seeds)))
         lines = blocks.where("single and tokens > 0").withColumn("kind", F.lit("prose"))
         repeated = small(repeated_templates(lines, page_counts(pages)))
         marked = blocks.join(repeated.withColumn("repeated", F.lit(True)), "path", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
@@ -265,8 +284,13 @@ class Languages:
         return self.blocks.where(f"type = 'PARAGRAPH' and letters >= {MIN_BLOCK_LETTERS} and not repeated").join(pages, ["project", "pos"]).where("lang <> main")
 
 
+def _run(spark: SparkSession, sf_dir: str) -> Languages:
+    seeds = seed_words(table(spark, sf_dir, "common_words"), table(spark, sf_dir, "lexicon").withColumnRenamed("term", "word"))
+    return Languages(table(spark, sf_dir, "ocr_page"), table(spark, sf_dir, "project"), seeds)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = Languages(table(spark, sf_dir, "ocr_page"), table(spark, sf_dir, "project"))
+    run = _run(spark, sf_dir)
     wrong = "declared is null or declared <> lang"
     none = F.lit(-1)
     books = run.books().where(wrong).select("project", none.alias("pos"), none.alias("block_idx"), "lang")
@@ -276,7 +300,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every book, page and block; ``pos`` and ``block_idx`` are -1 where they do not apply."""
-    run = Languages(table(spark, sf_dir, "ocr_page"), table(spark, sf_dir, "project"))
+    run = _run(spark, sf_dir)
     none = F.lit(-1)
     books = run.books().select("project", none.alias("pos"), none.alias("block_idx"), "lang", "confidence")
     pages = run.page_rows.select("project", "pos", none.alias("block_idx"), "lang", "confidence")

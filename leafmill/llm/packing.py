@@ -163,6 +163,8 @@ def _shards(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str,
 def _pack(path: str, capacities: list[tuple[str, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name, docs, index in _shards(path, batches):
         out = _rows(capacities, name, docs, index.neighbours)
+        if not out:
+            continue
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 
 

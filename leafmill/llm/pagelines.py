@@ -227,14 +227,15 @@ def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterato
             starts = [i for i in range(len(bs)) if i == 0 or bs[i] != bs[i - 1]]
             n = len(starts)
             starts.append(len(bs))
+            at = -9 if pos is None else pos
             all_words = [known.get(t) or words(t or "") for t in ts]
             seens = [all_words[starts[ln] : starts[ln + 1]] for ln in range(n)]
             columns = [tuple(zip(*seen)) for seen in seens]
-            kinds = [_kind(seen, c, pos) for seen, c in zip(seens, columns)]
+            kinds = [_kind(seen, c, at) for seen, c in zip(seens, columns)]
             phrases(kinds, [seen[0][6][:1] or "." for seen in seens], seens)
             for ln, (seen, c) in enumerate(zip(seens, columns)):
                 i = starts[ln]
-                tokens = key_tokens(seen, pos)
+                tokens = key_tokens(seen, at)
                 end = seen[-1][0][-1:]
                 letters = sum(c[2])
                 key = " ".join(tokens)
