@@ -42,12 +42,13 @@ def page_statistics(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     page whose lines are all left out gives no row.
     """
     own = lines.where("kind <> 'page'").join(repeated, "path", "left_anti")
-    share = lambda c: F.avg(c.cast("int"))
+    # sums over one count, not averages: a buffer less for each
+    share = lambda c: F.sum(c.cast("int")) / F.count("*")
     return own.groupBy("project", "pos").agg(
         F.count("*").alias("lines"), F.sum("nw").alias("words"),
         *(share(F.col("kind") == k).alias(f"{k}_lines") for k in ("list", "table", "junk")),
         (F.sum("symbols") / F.greatest(F.sum("chars"), F.lit(1))).alias("symbols"), (F.sum("letters") / F.greatest(F.sum("nw"), F.lit(1))).alias("word_length"),
-        share(F.col("ended")).alias("ended"), (F.sum("common") / F.greatest(F.sum("nw"), F.lit(1))).alias("common"), F.avg("nw").alias("line_words"),
+        share(F.col("ended")).alias("ended"), (F.sum("common") / F.greatest(F.sum("nw"), F.lit(1))).alias("common"), (F.sum("nw") / F.count("*")).alias("line_words"),
     )
 
 
@@ -78,10 +79,14 @@ def outlier_scores(statistics: DataFrame) -> DataFrame:
     return statistics.join(scores, ["project", "pos"])
 
 
-def scored_pages(pages: DataFrame, lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Statistics and outlier scores of every page with text of its own."""
-    languages = pages.groupBy("project", "pos", main_language(F.col("language")).alias("grp")).agg(F.count("*").alias("copies"))
-    statistics = page_statistics(lines, repeated).join(languages, ["project", "pos"])
+def page_labels(pages: DataFrame) -> DataFrame:
+    """One row per page: (project, pos, grp, copies), the language that its label names and the number of its rows."""
+    return pages.groupBy("project", "pos", main_language(F.col("language")).alias("grp")).agg(F.count("*").alias("copies"))
+
+
+def scored_pages(labels: DataFrame, lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Statistics and outlier scores of every page with text of its own; ``labels`` are those of ``page_labels``."""
+    statistics = page_statistics(lines, repeated).join(labels, ["project", "pos"])
     return outlier_scores(stage(statistics.withColumns({c: (F.col(c) / F.col("copies")).cast("int") for c in ("lines", "words")}).drop("copies")))
 
 
@@ -98,5 +103,6 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "ocr_page")
     lines = stage(page_lines(pages, common_keys(table(spark, sf_dir, "common_words"))))
-    repeated = small(repeated_templates(lines, page_counts(pages)))
-    return scored_pages(pages, lines, repeated)
+    labels = stage(page_labels(pages))
+    repeated = small(repeated_templates(lines, page_counts(labels)))
+    return scored_pages(labels, lines, repeated)

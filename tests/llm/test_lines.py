@@ -4,7 +4,7 @@ import pytest
 
 from leafmill.llm.boilerplate import page_counts, repeated_lines, repeated_templates
 from leafmill.llm.pagelines import Words, as_number, kind_of, page_lines, phrases, roman, shows_page
-from leafmill.llm.quality import STATISTICS, exact_ranks, outlier_scores, page_kinds, page_statistics, scored_pages
+from leafmill.llm.quality import STATISTICS, exact_ranks, outlier_scores, page_kinds, page_labels, page_statistics, scored_pages
 from tests.llm.pages import PROSE, frame, page
 
 
@@ -125,7 +125,7 @@ def test_page_kinds(spark):
     pages = frame(spark, *prose, *special, special[0])
     lines = page_lines(pages, frozenset({"bilan", "uchun"}))
     none = spark.createDataFrame([], "path bigint")
-    got = {(r.pos, r.kind) for r in page_kinds(scored_pages(pages, lines, none)).collect()}
+    got = {(r.pos, r.kind) for r in page_kinds(scored_pages(page_labels(pages), lines, none)).collect()}
     assert got == {(40, "list"), (41, "table"), (42, "junk")}
     stats = page_statistics(lines.where("false"), none)
     assert stats.count() == 0 and set(STATISTICS) <= set(stats.columns)
