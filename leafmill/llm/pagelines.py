@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from leafmill.llm import glyphs
 from leafmill.llm.ragged import rows
 
-LINES = "project string, pos int, b int, ln int, nl int, w0 int, nw int, letters int, kind string, symbols int, chars int, ended boolean, common int, tokens int, key string, path long, front long, back long, first string, last string"
+LINES = "project string, pos int, b int, ln int, nl int, w0 int, nw int, letters int, kind string, symbols int, chars int, ended boolean, common int, tokens int, key string, path long, front long, back long, first string, last string, edge boolean"
 _ARROW = pa.schema([
     ("project", pa.string()), ("pos", pa.int32()), ("b", pa.int32()), ("ln", pa.int32()), ("nl", pa.int32()), ("w0", pa.int32()), ("nw", pa.int32()), ("letters", pa.int32()), ("kind", pa.string()), ("symbols", pa.int32()),
     ("chars", pa.int32()), ("ended", pa.bool_()), ("common", pa.int32()), ("tokens", pa.int32()), ("key", pa.string()), ("path", pa.int64()), ("front", pa.int64()), ("back", pa.int64()),
-    ("first", pa.string()), ("last", pa.string()),
+    ("first", pa.string()), ("last", pa.string()), ("edge", pa.bool_()),
 ])
 
 # Letters and signs that a digit is misread as.
@@ -39,9 +39,14 @@ _LETTERS = regex.compile(r"[^\p{L}]+|[ʻʼ]+")
 _EDGES = regex.compile(r"^[^\p{L}\p{N}|!]+|[^\p{L}\p{N}|!]+$")
 _LIMIT = 400_000
 _RUN = 4
+#: Bits of a field of the packed measures; a line of more characters than these hold is none.
+_F = 28
+_M = (1 << _F) - 1
 #: Lines of fewer letters get no template: they are far too short to count as repeated lines.
 _KEYED = 10
 _HYPHENS = "-‐‑¬\u00ad"
+#: Between a hyphen and the other half of its word lie fewer lines than this that are repeated lines or page numbers.
+_REACH = 8
 _NOTHING = "\u200b\u200c\u200d\u2060\ufeff"
 _STOPS = frozenset(".!?…,;:-‐¬­")
 #: Small letters whose capitals have one shape, so that a key is the same in either case.
@@ -113,7 +118,7 @@ class Words:
         self.common = common
 
     def __call__(self, t: str) -> tuple:
-        """(print form, key without digits and signs, letters, is a number cell, is readable, symbols, form without edge signs, length, number shown, Roman numeral shown, is a common word)."""
+        """(print form, key without digits and signs, letters, is a number cell, is readable, symbols, form without edge signs, length, number shown, Roman numeral shown, is a common word, all that is summed over a line in one number)."""
         got = self.known.get(t)
         if got is None:
             if len(self.known) >= _LIMIT:
@@ -134,43 +139,48 @@ class Words:
             if marks:
                 key = _LETTERS.sub("", key)
             short = len(core) <= 3 or (len(core) <= 6 and not core.isalpha())
-            got = self.known[t] = (form, key, letters, cell, letters >= 3 and bool(_READABLE.match(form)) and pronounceable(form, key), symbols, core, len(form), as_number(core) if short else None, roman_core(core), key in self.common)
+            got = self.known[t] = (form, key, letters, cell, letters >= 3 and bool(_READABLE.match(form)) and pronounceable(form, key), symbols, core, len(form), as_number(core) if short else None, roman_core(core), key in self.common, 0)
+            blank = not form or form in "|¦"
+            packed = letters | symbols << _F | len(form) << 2 * _F | cell << 3 * _F | got[4] << 4 * _F | (key in self.common) << 5 * _F | blank << 6 * _F | (letters >= 3) << 7 * _F
+            got = self.known[t] = (*got[:-1], packed)
         return got
 
 
 def kind_of(seen: list[tuple], pos: int) -> str:
     """``page``, ``table``, ``list``, ``junk`` or ``prose``: what a line is, by its words alone."""
-    return _kind(seen, tuple(zip(*seen)), pos)
+    return _kind(seen, _sums(seen), pos)
 
 
-def _kind(seen: list[tuple], columns: tuple[tuple, ...], pos: int) -> str:
-    forms, _, letters_of, cell, plain_words, _, _, lengths, *_ = columns
-    n = len(forms) - lengths.count(0)
-    if "|" in forms or "¦" in forms:
-        n -= forms.count("|") + forms.count("¦")
-    if n <= 0:
+def _sums(seen: list[tuple]) -> tuple[int, ...]:
+    """Letters, symbols, characters, cells, readable words, common words, blank words and words of three letters of a line."""
+    total = sum([w[11] for w in seen])
+    return (total & _M, total >> _F & _M, total >> 2 * _F & _M, total >> 3 * _F & _M, total >> 4 * _F & _M, total >> 5 * _F & _M, total >> 6 * _F & _M, total >> 7 * _F)
+
+
+def _kind(seen: list[tuple], sums: tuple[int, ...], pos: int) -> str:
+    letters, _, chars, cells, readable, _, blank, wordlike = sums
+    n = len(seen) - blank
+    if not n:
         return "junk"
-    if n <= 4 and shows_page(forms, pos):
+    if n <= 4 and shows_page([w[0] for w in seen], pos):
         return "page"
-    first, last = forms[0], forms[-1]
-    cells, readable = sum(cell), sum(plain_words)
+    first, last = seen[0][0], seen[-1][0]
     if readable and n > 1:
         if len(first) <= 5 and _ENUM.match(first):
             return "list"
         end = last[-1:]
         if end.isdecimal() or end in ".…_·" or (cells and end.isalnum()):
-            text = " ".join(forms)
+            text = " ".join([w[0] for w in seen])
             if ("..." in text or "…" in text or ". . ." in text or "__" in text) and _LEADER.search(text):
                 return "list"
             if cells and last[:1].isdecimal() and _INDEXED.match(text):
                 return "list"
-    if cells >= 2 and 2 * cells >= n and cell[-1]:
+    if cells >= 2 and 2 * cells >= n and seen[-1][3]:
         return "table"
     if cells < n and 3 * readable < n - cells:
-        letters, chars = sum(letters_of), sum(lengths)
         if readable == 0 and (letters < 0.75 * chars or chars <= 3):
             return "junk"
-        if n >= 3 and (letters < 0.6 * chars or 3 * readable < sum([k >= 3 for k in letters_of])):
+        if n >= 3 and (letters < 0.6 * chars or 3 * readable < wordlike):
             return "junk"
     return "prose"
 
@@ -230,14 +240,15 @@ def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterato
             at = -9 if pos is None else pos
             all_words = [known.get(t) or words(t or "") for t in ts]
             seens = [all_words[starts[ln] : starts[ln + 1]] for ln in range(n)]
-            columns = [tuple(zip(*seen)) for seen in seens]
-            kinds = [_kind(seen, c, at) for seen, c in zip(seens, columns)]
+            sums = [_sums(seen) for seen in seens]
+            kinds = [_kind(seen, c, at) for seen, c in zip(seens, sums)]
             phrases(kinds, [seen[0][6][:1] or "." for seen in seens], seens)
-            for ln, (seen, c) in enumerate(zip(seens, columns)):
+            hyphened = -_REACH
+            for ln, (seen, c) in enumerate(zip(seens, sums)):
                 i = starts[ln]
                 tokens = key_tokens(seen, at)
                 end = seen[-1][0][-1:]
-                letters = sum(c[2])
+                letters = c[0]
                 key = " ".join(tokens)
                 last = ts[i + len(seen) - 1]
                 if letters >= _KEYED and tokens:
@@ -246,9 +257,14 @@ def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterato
                     paths = (_hash(stem + key), _hash(stem + "front " + " ".join(tokens[:half])), _hash(stem + "back " + " ".join(tokens[half:])))
                 else:
                     key, paths, tokens = "", (0, 0, 0), ()
+                if not last or (last[-1] not in _HYPHENS and last.rstrip(_NOTHING)[-1:] not in _HYPHENS):
+                    last = None
+                near = ln < _REACH or ln - hyphened < _REACH or last is not None
+                if last is not None:
+                    hyphened = ln
                 out.append((
-                    project, pos, bs[i], ln, n, i if w0 == 0 else -1, len(seen), letters, kinds[ln], sum(c[5]), sum(c[7]), end in ".!?…»\"”:;", sum(c[10]), len(tokens), key,
-                    *paths, ts[i], last if last and (last[-1] in _HYPHENS or last.rstrip(_NOTHING)[-1:] in _HYPHENS) else None,
+                    project, pos, bs[i], ln, n, i if w0 == 0 else -1, len(seen), letters, kinds[ln], c[1], c[2], end in ".!?…»\"”:;", c[5], len(tokens), key,
+                    *paths, ts[i] if near else None, last, near,
                 ))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)] if out else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
 
@@ -256,7 +272,8 @@ def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterato
 def page_lines(pages: DataFrame, common_words: frozenset[str] = frozenset()) -> DataFrame:
     """One row per printed line: its place, its kind, its measures, its template key and the paths to its three leaves.
 
-    ``common`` counts words whose key is among ``common_words``; ``last`` is the last word where it ends in a hyphen. Where
+    ``common`` counts words whose key is among ``common_words``; ``last`` is the last word where it ends in a hyphen; ``edge``
+    marks these lines, the few after them and the first few of a page, which alone have ``first``, their first word. Where
     ``words`` is null or empty the lines of the block texts stand in, with ``b`` below 0 and ``w0`` -1; null texts
     count as ''; rows repeated in ``pages`` are repeated here; a page without any text gives no line.
     """
