@@ -120,3 +120,24 @@ def cell_reference(ref: Column) -> Column:
     """Q10: ``B3`` and ``$B$3`` as (row, col), both from 0; anything else null."""
     pattern = r"^\$?([A-Za-z]{1,3})\$?(\d+)$"
     return F.when(ref.rlike(pattern), F.struct((F.regexp_extract(ref, pattern, 2).cast("int") - 1).alias("row"), column_index(F.regexp_extract(ref, pattern, 1)).alias("col")))
+
+
+def display(x: Column, code: str | None) -> Column:
+    """A number by a format code: General, dates, percent, grouped and plain decimals, and a literal in quotes after it."""
+    import re
+
+    if not code or code == "General":
+        return general(x)
+    literal = re.search(r'"([^"]*)"', code)
+    core = re.sub(r'\[[^\]]*\]|\\|"[^"]*"', "", code.split(";")[0])
+    low = core.lower()
+    if ("y" in low or "d" in low) and "0" not in low:
+        day = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(x).cast("int"))
+        seconds = F.round((x - F.floor(x)) * 86400).cast("int")
+        clock = F.date_format(F.timestamp_seconds(seconds), "HH:mm:ss" if "ss" in low else "HH:mm")
+        return F.concat_ws(" ", F.date_format(day, "dd.MM.yyyy"), clock) if "h" in low else F.date_format(day, "dd.MM.yyyy")
+    digits = len(re.match(r"[0#]*", core.partition(".")[2])[0].replace("#", ""))
+    if "%" in core:
+        return F.concat(F.translate(F.format_number(x * 100, digits), ",", ""), F.lit("%"))
+    out = grouped(x, digits) if "," in core else F.translate(F.format_number(x, digits), ",", "")
+    return F.concat(out, F.lit(" " + literal[1])) if literal and literal[1] else out

@@ -252,3 +252,13 @@ def from_markup(text: Column) -> Column:
         return F.struct(kind.alias("type"), spans.alias("spans"))
 
     return F.transform(parts, one)
+
+
+# Names of the languages of a book, long and short.
+LANGUAGE_NAMES = {"uzb": ("Oʻzbek (lotin)", "UZ"), "uzb_cyrl": ("Ўзбек (кирилл)", "ЎЗ"), "rus": ("Русский", "RU"), "eng": ("English", "EN"), "auto": ("Auto", "A")}
+
+
+def language_name(label: Column, short: bool = False) -> Column:
+    """the languages of a label such as ``uzb+eng`` by name; unknown ones as they are."""
+    known = F.create_map(*[F.lit(x) for k, v in LANGUAGE_NAMES.items() for x in (k, v[short])])
+    return F.array_join(F.transform(F.split(label, r"\+"), lambda l: F.coalesce(F.try_element_at(known, l), l)), "+" if short else " + ")

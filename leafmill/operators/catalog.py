@@ -154,3 +154,81 @@ def safe_name(name: Column) -> Column:
     """K8: a file name without reserved signs and control characters, at most 80 characters; ``kitob`` if nothing is left."""
     out = F.trim(F.substring(F.trim(F.regexp_replace(name, r'[\\/:*?"<>|\x00-\x1f]', "")), 1, 80))
     return F.when(out == "", "kitob").otherwise(out)
+
+
+def newest_first(rows: DataFrame, time: str, tie: str) -> DataFrame:
+    """Listings with the latest first."""
+    return rows.orderBy(F.col(time).desc_nulls_last(), F.col(tie))
+
+
+def targets(own: Column, without: Column) -> Column:
+    """Formats that a document can be turned into, in their order, without some."""
+    return F.array_except(own, without)
+
+
+def one(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The row of one key."""
+    return rows.where(F.col(key) == value)
+
+
+def folders(log: DataFrame) -> DataFrame:
+    """Saved folders out of a log of (uri, name, time, removed): the latest entry of each holds, later ones stand further down."""
+    last = log.where("uri is not null").groupBy("uri").agg(F.max_by(F.struct("name", "removed"), F.struct("time", "name")).alias("n"), F.max("time").alias("time"))
+    return last.where(~F.coalesce(F.col("n.removed"), F.lit(False))).select("uri", "n.name", "time").orderBy("time", "uri")
+
+
+def rotate(pages: Column, ids: list[str], turn: int) -> Column:
+    """Rotation of the selected pages (id, rotation), modulo 360."""
+    return F.transform(pages, lambda p: F.struct(p["id"].alias("id"), F.when(p["id"].isin(*ids), F.pmod(p["rotation"] + turn, F.lit(360))).otherwise(p["rotation"]).alias("rotation")))
+
+
+def keep(pages: Column, ids: list[str]) -> Column:
+    """The selected pages alone."""
+    return F.filter(pages, lambda p: p["id"].isin(*ids))
+
+
+def drop(pages: Column, ids: list[str]) -> Column:
+    """The selected pages deleted, unless these are all."""
+    left = F.filter(pages, lambda p: ~p["id"].isin(*ids))
+    return F.when(F.size(left) > 0, left).otherwise(pages)
+
+
+def shift_selected(pages: Column, ids: list[str], later: bool = False) -> Column:
+    """The selected pages one place earlier (or later), as a block: those at the edge stay, and so do those that follow them directly.
+
+    A fold over the list: a selected page changes places with an unselected one before it.
+    """
+    chosen = lambda p: p["id"].isin(*ids)
+    order = F.reverse(pages) if later else pages
+    rest = F.slice(order, F.lit(2), F.greatest(F.size(order) - 1, F.lit(0)))
+
+    def step(done: Column, p: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        swap = chosen(p) & ~chosen(last)
+        return F.when(swap, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(p), F.array(last))).otherwise(F.concat(done, F.array(p)))
+
+    out = F.aggregate(rest, F.slice(order, F.lit(1), F.lit(1)), step)
+    return F.when(F.size(pages) > 1, F.reverse(out) if later else out).otherwise(pages)
+
+
+def with_images(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """Pages that have an image, with its path."""
+    return pages.join(images, "id", "left_semi").join(images, "id", "left")
+
+
+def title_of(name: Column) -> Column:
+    """a file's name without its extension."""
+    return F.when(name.contains("."), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+
+
+# Media types of what is exported.
+MEDIA = {
+    "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "txt": "text/plain", "html": "text/html", "csv": "text/csv", "jpg": "image/jpeg", "png": "image/png", "zip": "application/zip",
+}
+
+
+def media_type(name: Column) -> Column:
+    """the media type of an exported file; unknown ones as bytes."""
+    known = F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, extension(name)), F.lit("application/octet-stream"))

@@ -171,3 +171,60 @@ def outline(paragraphs: DataFrame) -> DataFrame:
     """Q24: non-empty paragraph texts of each slide in order."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])
     return paragraphs.where("trim(coalesce(text, '')) <> ''").groupBy("doc", "slide").agg(texts.alias("texts"))
+
+
+def inherited(styles: DataFrame, fields: list[str], deepest: int = 10) -> DataFrame:
+    """Styles (doc, id, parent, fields...) with each missing field from the nearest ancestor that has it; cycles and depths beyond ten end the search.
+
+    One join a level over all documents at once; it stops as soon as no style has an ancestor left.
+    """
+    own = styles.select("doc", "id", "parent", *fields)
+    up = own.select("doc", F.col("id").alias("parent"), F.col("parent").alias("_next"), *[F.col(f).alias(f"_{f}") for f in fields])
+    out = own.withColumn("_seen", F.array("id"))
+    for _ in range(deepest):
+        out = out.join(up, ["doc", "parent"], "left").select(
+            "doc", "id", F.when(~F.array_contains("_seen", F.coalesce("_next", F.lit(""))), F.col("_next")).alias("parent"), *[F.coalesce(f, f"_{f}").alias(f) for f in fields], F.concat("_seen", F.array(F.coalesce("_next", F.lit("")))).alias("_seen")
+        )
+    return out.select("doc", "id", *fields)
+
+
+def numbered(paragraphs: DataFrame) -> DataFrame:
+    """List prefixes of paragraphs (doc, pos, num, level): counters of a level begin anew after a higher one.
+
+    A counter is the number of paragraphs of its level since the last one of a higher level, so a window per list replaces the state.
+    """
+    from leafmill.functions.text import roman
+
+    by = W.partitionBy("doc", "num").orderBy("pos")
+    out = paragraphs
+    for level in range(3):
+        out = out.withColumn(f"_run{level}", F.sum((F.col("level") < level).cast("int")).over(by))
+    count = None
+    for level in range(3):
+        own = F.sum((F.col("level") == level).cast("int")).over(W.partitionBy("doc", "num", f"_run{level}").orderBy("pos"))
+        count = F.when(F.col("level") == level, own) if count is None else count.when(F.col("level") == level, own)
+    letter = F.char((F.col("count") - 1) % 26 + 97)
+    prefix = F.when(F.col("level") == 0, F.concat(F.col("count").cast("string"), F.lit("."))).when(F.col("level") == 1, F.concat(letter, F.lit(")"))).otherwise(F.concat(roman(F.col("count")), F.lit(".")))
+    return out.withColumn("count", count).withColumn("prefix", prefix).drop("_run0", "_run1", "_run2")
+
+
+def styled(cells: DataFrame, formats: DataFrame, fonts: DataFrame, fills: DataFrame) -> DataFrame:
+    """Cells with the font and fill of their style; missing indexes leave them null."""
+    return cells.join(formats, ["book", "style"], "left").join(fonts, ["book", "font"], "left").join(fills, ["book", "fill"], "left")
+
+
+def bold_cells(cells: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Whether every word of a cell (project, pos, line, cell, text) stands in a bold span of its page."""
+    words = blocks.select("project", "pos", F.explode("spans").alias("s")).where("s.bold").select("project", "pos", F.explode(F.split("s.text", " ")).alias("t")).select("project", "pos", F.trim("t").alias("t")).distinct()
+    own = words.groupBy("project", "pos").agg(F.collect_set("t").alias("bold_words"))
+    known = lambda w: F.array_contains(F.coalesce("bold_words", F.array()), w)
+    return cells.join(own, ["project", "pos"], "left").withColumn("bold", F.forall(F.split("text", " "), known)).drop("bold_words")
+
+
+def rename_sheet(formula: Column, old: str, new: str) -> Column:
+    """Q13: references to a sheet by its new name; names that are no words are quoted."""
+    import re
+
+    quoted = new if re.fullmatch(r"[A-Za-z_][\w.]*", new) else "'" + new.replace("'", "''") + "'"
+    name = re.sub(r"([\\.\[\](){}*+?^$|])", r"\\\1", old)
+    return F.regexp_replace(formula, f"(?i)(?<![\\w'.])(?:'{name}'|{name})!", quoted.replace("\\", "\\\\").replace("$", "\\$") + "!")
