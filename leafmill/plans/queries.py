@@ -551,7 +551,7 @@ def d14_merged_spans(spark, d):
 @query("""
 with o as (select uri, arg_max({'name': name, 'size': size}, {'time': time, 'name': name, 'size': size}) as n, max(time) as time, bool_or(coalesce(fav, false)) as fav from files where uri is not null group by uri)
 select uri, n.name as name, n.size as size, time, fav from o order by time desc nulls last, uri limit 200""")
-def p1_recent_files(spark, d):
+def cat1_recent_files(spark, d):
     """The log of opened files as the list of recents (a list of 200 by its nature)."""
     return C.recents(table(spark, d, "files"))
 
@@ -571,7 +571,7 @@ def s1_file_kinds(spark, d):
 @query("""
 with b as (select uri, name, time, size, fav, 0 as src from files where time > 0 union all select 'doc' || doc_id, title, cast(epoch_us(saved_at) // 1000 as bigint), n_chars, false, 1 from documents where saved_at is not null),
 r as (select *, row_number() over (partition by uri order by src, time desc, name nulls first, size nulls first, fav nulls first) as n from b) select uri, time, fav from r where n = 1""")
-def p3_home_list(spark, d):
+def cat3_home_list(spark, d):
     """Opened files and saved documents, each once."""
     recent = table(spark, d, "files")
     docs = table(spark, d, "documents").where("saved_at is not null").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("uri"), F.col("title").alias("name"), F.unix_millis("saved_at").alias("time"), F.col("n_chars").alias("size"))
@@ -582,7 +582,7 @@ def p3_home_list(spark, d):
 @query("""
 with f as (select uri, max(is_dir) as is_dir, max(lower(name)) as name, max(size) as size from files where uri is not null group by uri)
 select uri, cast(row_number() over (order by is_dir desc, name nulls first, uri) as int) as place from f""")
-def p5_file_order(spark, d):
+def cat5_file_order(spark, d):
     """P5: folders first, then names."""
     from pyspark.sql import Window as W
 
@@ -591,7 +591,7 @@ def p5_file_order(spark, d):
 
 
 @query("select project, pos, idx from (select project, pos, idx, text from " + _BLOCKS + ") where contains(lower(text), 'kitob')")
-def p7_page_search(spark, d):
+def cat7_page_search(spark, d):
     """P7."""
     return C.search(_blocks(spark, d), "text", "Kitob", 2).select("project", "pos", "idx")
 
@@ -611,7 +611,7 @@ def a12_progress(spark, d):
 
 @query(f"""
 with l as {_LATEST} select id, p.id as page from (select id, unnest(pages) as p from l) where not p.ocrDone""")
-def p8_to_do(spark, d):
+def cat8_to_do(spark, d):
     """Pages still to be recognised."""
     pages = _latest(spark, d).select("id", F.explode("pages").alias("p"))
     return pages.where(~F.col("p.ocrDone")).select("id", F.col("p.id").alias("page"))
@@ -619,20 +619,20 @@ def p8_to_do(spark, d):
 
 @query(f"""
 with l as {_LATEST} select id, array_to_string(list_transform(case when len(pages) > 2 then list_concat([pages[2]], [pages[3]], [pages[1]], pages[4:]) when len(pages) = 2 then [pages[2], pages[1]] else pages end, lambda p: p.id), ',') as moved, array_to_string(list_transform(list_filter(pages, lambda p: p.ocrDone), lambda p: p.id), ',') as kept from l""")
-def p10_page_lists(spark, d):
+def cat10_page_lists(spark, d):
     """The first page moved by two, pages not done deleted."""
     moved = F.array_join(F.transform(C.move(F.col("pages"), 0, 2), lambda p: p["id"]), ",")
     return _latest(spark, d).select("id", moved.alias("moved"), F.array_join(F.transform(F.filter("pages", lambda p: p["ocrDone"]), lambda p: p["id"]), ",").alias("kept"))
 
 
 @query("select distinct source, min(doc_id) over (partition by source) as first from documents")
-def p17_first_seen(spark, d):
+def cat17_first_seen(spark, d):
     """P17."""
     return C.first_seen(table(spark, d, "documents"), "source", "doc_id")
 
 
 @query(f"with b as {_BLOCKS}, p as (select project, pos, string_agg(text, ' ' order by idx) as text from b group by project, pos) select project, string_agg(text, chr(10) order by pos) as text from p where pos < 3 group by project")
-def p18_samples(spark, d):
+def cat18_samples(spark, d):
     """P18."""
     pages = _blocks(spark, d).groupBy("project", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda s: s["text"]), " ").alias("text"))
     return C.sample_text(pages)
