@@ -538,34 +538,59 @@ class Workbook:
         return self.done
 
 
-def _recalculate(table: pa.Table) -> pa.Table:
-    book = table.column("book")[0].as_py()
-    out = []
-    for (sheet, row, col), v in Workbook(iter(table.to_pylist())).values().items():
+_VALUE_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.string())
+_AT_ONCE = 20_000
+
+
+def _values_of(book: str | None, cells: list[dict]) -> Iterator[tuple]:
+    for (sheet, row, col), v in Workbook(iter(cells)).values().items():
         if isinstance(v, SheetError):
             if v.code in ("UNSUP", "#PARSE"):
                 continue  # the stored result is left alone
-            out.append((book, sheet, row, col, "error", None, None, None, v.code))
+            yield (book, sheet, row, col, "error", None, None, None, v.code)
         elif isinstance(v, bool):
-            out.append((book, sheet, row, col, "bool", None, None, v, None))
+            yield (book, sheet, row, col, "bool", None, None, v, None)
         elif isinstance(v, (int, float)):
-            out.append((book, sheet, row, col, "num", float(v), None, None, None))
+            yield (book, sheet, row, col, "num", float(v), None, None, None)
         elif v.startswith("#"):
-            out.append((book, sheet, row, col, "error", None, None, None, v))
+            yield (book, sheet, row, col, "error", None, None, None, v)
         else:
-            out.append((book, sheet, row, col, "str", None, v, None, None))
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.string())
+            yield (book, sheet, row, col, "str", None, v, None, None)
+
+
+def _recalculate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Workbooks of a partition sorted by book, one after the other; the last one of a batch may go on in the next."""
     names = [c.split()[0] for c in VALUES.split(", ")]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 9, kinds)], names=names)
+    out: list[tuple] = []
+    held: list[dict] = []
+
+    def full() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 9, _VALUE_TYPES)], names=names)
+        out.clear()
+        return made
+
+    for batch in batches:
+        for cell in batch.to_pylist():
+            if held and held[0]["book"] != cell["book"]:
+                out.extend(_values_of(held[0]["book"], held))
+                held = []
+            held.append(cell)
+        if len(out) >= _AT_ONCE:
+            yield full()
+    if held:
+        out.extend(_values_of(held[0]["book"], held))
+    yield full()
 
 
 def recalculate(cells: DataFrame) -> DataFrame:
     """one row per formula cell of every workbook with its value.
 
     ``cells``: book, sheet, sheet_name, row, col, raw, kind, formula. Formulas that cannot be parsed or call an unknown function give no
-    row, so that their stored results stay. A null raw value is blank; empty input gives no rows.
+    row, so that their stored results stay. A null raw value is blank; empty input gives no rows. Of a cell that stands twice one row counts.
+    Books are brought together by one shuffle and sort; a task holds one workbook at a time.
     """
-    return cells.select("book", "sheet", "sheet_name", "row", "col", "raw", "kind", "formula").groupBy("book").applyInArrow(_recalculate, VALUES)
+    own = cells.select("book", "sheet", "sheet_name", "row", "col", "raw", "kind", "formula")
+    return own.repartition("book").sortWithinPartitions("book", "sheet", "row", "col").mapInArrow(_recalculate, VALUES)
 
 
 # ---------------------------------------------------------------- formulas of one row as Columns
