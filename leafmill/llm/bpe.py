@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.llm.ragged import slices
 from leafmill.plans.staging import table
 
 #: Where the vocabularies of the public tokenizers lie.
@@ -137,16 +138,9 @@ class Encoder:
         return [(bag, sum(n * len(self.known[w]) for w, n in bag.items())) for bag in bags]
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Slices of batches, so that the ids of long texts do not pile up."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _encode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(path)
-    for batch in _small(batches):
+    for batch in slices(batches):
         texts = batch.column("text").to_pylist()
         ids: list[int] = []
         offsets = [0]
@@ -160,7 +154,7 @@ def _encode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(path)
-    for batch in _small(batches):
+    for batch in slices(batches):
         n = [sum(map(len, words)) for words in encoder(batch.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "tokens"])
 

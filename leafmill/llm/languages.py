@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from leafmill.llm import glyphs
 from leafmill.llm.boilerplate import page_counts, repeated_templates
 from leafmill.llm.pagelines import Words, _hash, key_tokens, kind_of
-from leafmill.llm.ragged import rows
+from leafmill.llm.ragged import rows, slices
 from leafmill.plans.staging import hashed_sample, small, stage, table
 
 # The languages and other spellings of their labels.
@@ -196,7 +196,7 @@ def _infer(model):
             ids[t] = len(scores) - 1
             return ids[t]
 
-        for batch in batches:
+        for batch in slices(batches):
             if len(ids) > _LIMIT:
                 ids.clear(), scores.clear(), letters.clear(), grams.clear()
             found = list(rows(batch, ("texts", "types"), ("project", "pos")))

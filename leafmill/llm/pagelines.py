@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import glyphs
-from leafmill.llm.ragged import rows
+from leafmill.llm.ragged import rows, slices
 
 LINES = "project string, pos int, b int, ln int, nl int, w0 int, nw int, letters int, kind string, symbols int, chars int, ended boolean, common int, tokens int, key string, path long, front long, back long, first string, last string, edge boolean"
 _ARROW = pa.schema([
@@ -225,7 +225,7 @@ _WORDS: dict[frozenset[str], Words] = {}
 def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _WORDS.setdefault(common, Words(common))  # kept from task to task of a worker
     known = words.known
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for project, pos, ts, bs, texts in rows(batch, ("t", "b", "texts"), ("project", "pos")):
             w0 = 0

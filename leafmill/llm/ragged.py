@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 
 
@@ -10,12 +12,21 @@ def flat(column: pa.Array) -> tuple[list, list[tuple[int, int]], list[bool]]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets = column.offsets.to_numpy()
-    values = column.values
+    first = int(offsets[0]) if len(offsets) else 0
+    values = column.values.slice(first, int(offsets[-1]) - first if len(offsets) else 0)
+    offsets = offsets - first
     items = values.to_numpy(zero_copy_only=False).tolist()
     valid = column.is_valid().to_pylist()
     return items, list(zip(offsets[:-1].tolist(), offsets[1:].tolist())), [not v for v in valid]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that what is made of them in Python stays small too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def rows(batch: pa.RecordBatch, lists: tuple[str, ...], plain: tuple[str, ...]):
     """One tuple per row: the ``plain`` columns' values, then each list column as a list (null: empty)."""
     ready = []
