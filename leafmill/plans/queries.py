@@ -545,6 +545,40 @@ def d14_merged_spans(spark, d):
     return table(spark, d, "ocr_page").select("project", "pos", n.alias("spans")).distinct()
 
 
+@query()
+def d1_analyse_pages(spark, d):
+    """Words of recognised pages to blocks; every printed line of one page is in one paragraph group."""
+    from leafmill.operators.pagelayout import analyse_pages
+
+    pages = table(spark, d, "ocr_page").select("project", "pos", "width", "height", "confidence", "words").distinct()
+    w = pages.select(F.concat_ws("/", "project", F.col("pos").cast("string")).alias("page_id"), "width", "height", F.coalesce("confidence", F.lit(-1)).alias("conf"), F.posexplode("words").alias("word", "o"))
+    words = w.where("o.t is not null").select(
+        "page_id", "width", "height", F.lit(0).alias("block"), F.lit(0).alias("par"), F.col("o.b").alias("line"), "word", F.col("o.t").alias("text"), F.col("o.x").alias("l"), F.col("o.y").alias("t"), (F.col("o.x") + F.col("o.w")).alias("r"),
+        (F.col("o.y") + F.col("o.h")).alias("b"), F.greatest("conf", F.lit(60)).alias("conf"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.col("o.s").cast("double").alias("size"),
+    )
+    return analyse_pages(words).select("page_id", "idx", "type", "align", F.concat_ws("", F.transform("spans", lambda s: s["text"])).alias("text"))
+
+
+@query("select source, title, string_agg(fmt, ',' order by doc_id) as fmts from documents where title is not null group by source, title")
+def a13_groups(spark, d):
+    """Items gathered by key, in order."""
+    fmts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "fmt"))), lambda s: s["fmt"]), ",")
+    return table(spark, d, "documents").where("title is not null").groupBy("source", "title").agg(fmts.alias("fmts"))
+
+
+@query("select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey)")
+def j12_semi_join(spark, d):
+    """Rows that have a counterpart."""
+    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("select doc_id, page, line, part from (select doc_id, page, line, unnest(string_split_regex(trim(line), '\\s{2,}|\t')) as part from (select doc_id, 0 as page, unnest(string_split(text, chr(10))) as line from documents where text is not null and contains(text, chr(9))) where trim(line) <> '')")
+def k12_text_cells(spark, d):
+    """Lines with tabs as table cells."""
+    lines = table(spark, d, "documents").where("text is not null and contains(text, '\t')").select("doc_id", F.lit(0).alias("page"), F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    return lines.select("doc_id", "page", "line", F.explode(F.split(F.trim("line"), r"\s{2,}|\t")).alias("part"))
+
+
 # ---------------------------------------------------------------- catalogue
 
 

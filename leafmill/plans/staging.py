@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="leafmill_")
+        atexit.register(shutil.rmtree, _OWN_DIR[app], ignore_errors=True)
     return "file://" + _OWN_DIR[app]
 
 
