@@ -31,6 +31,11 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def strip(text: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def key(text: Column) -> Column:
     """small letters only."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}]", "")

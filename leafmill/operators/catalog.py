@@ -106,7 +106,7 @@ def rebuild(pages: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def concatenated(documents: DataFrame) -> DataFrame:
-    """Pages of several documents in order of (doc_ord, pos), numbered anew: offsets come from the page counts."""
+    """Pages of several documents in order of (doc_ord, pos), numbered anew: offsets come from the page counts, one row for each of the few documents."""
     sizes = documents.groupBy("doc_ord").agg(F.count("*").alias("n"))
     offsets = sizes.select("doc_ord", (F.sum("n").over(W.orderBy("doc_ord")) - F.col("n")).alias("offset"))
     return documents.join(offsets, "doc_ord").withColumn("page", F.col("offset") + F.col("pos")).drop("offset")

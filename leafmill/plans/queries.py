@@ -14,6 +14,7 @@ from leafmill.operators import arrays as I
 from leafmill.operators import catalog as C
 from leafmill.operators import layout as D
 from leafmill.operators import sheet as Q
+from leafmill.plans.ranking import global_rank
 from leafmill.plans.staging import table
 from leafmill.sources import formats as S
 
@@ -150,11 +151,8 @@ select doc_id, cast(row_number() over (order by case when t = '' then 1 else 0 e
 
 
 def _placed(spark, d, ascending):
-    # one global order: in a sheet it is bounded; here it shows the keys over a whole table
-    rows = Q.sort_rows(_mixed(spark, d), "raw", ascending, "doc_id")
-    from pyspark.sql import Window as W
-
-    return rows.select("doc_id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*Q.sort_keys(F.col("raw"), ascending), "doc_id")).alias("place"))
+    order = [*Q.sort_keys(F.col("raw"), ascending), F.col("doc_id").asc()]
+    return global_rank(_mixed(spark, d), order).select("doc_id", "place")
 
 
 @query(_sort_sql("asc"))
@@ -238,13 +236,11 @@ def q14_edits(spark, d):
 
 
 @query("""
-select o_orderkey, cast(row as int) as row from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as row from orders where o_orderkey <= 2000) where row < 10
-union all select o_orderkey, cast(row - 5 as int) from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as row from orders where o_orderkey <= 2000) where row >= 15""")
+with r as (select o_orderkey, cast(row_number() over (order by o_orderkey) - 1 as int) as row from orders)
+select o_orderkey, case when row >= 15 then row - 5 else row end as row from r where row < 10 or row >= 15""")
 def q4_delete_rows(spark, d):
     """Q4: rows 10 to 14 of a sheet deleted, the rest moved up."""
-    from pyspark.sql import Window as W
-
-    o = table(spark, d, "orders").where("o_orderkey <= 2000").select("o_orderkey", F.lit("b").alias("book"), (F.row_number().over(W.partitionBy(F.lit("b")).orderBy("o_orderkey")) - 1).alias("row"))
+    o = global_rank(table(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey").asc()], "row").withColumn("row", F.col("row") - 1)
     return Q.shift(o, "row", 10, -5).select("o_orderkey", "row")
 
 
@@ -439,11 +435,11 @@ def f40_file_labels(spark, d):
     return table(spark, d, "files").select("uri", "name", "size").distinct().select("uri", "name", "size", X.human_size(F.col("size")).alias("shown"), C.extension(F.col("name")).alias("ext"))
 
 
-@query("""select doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as html, text as back, cast(length(text) - length(replace(text, ' ', '')) as int) as spaces from documents where text is not null and not contains(text, '&')""")
+@query("""select doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as html, text as back, cast(length(text) - length(replace(text, ' ', '')) as int) as spaces from documents where text is not null""")
 def f25_escape(spark, d):
     """escape and back."""
     t = F.col("text")
-    return table(spark, d, "documents").where("text is not null and not contains(text, '&')").select("doc_id", X.escape_html(t).alias("html"), X.decode_entities(X.escape_html(t)).alias("back"), X.space_count(t).alias("spaces"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.escape_html(t).alias("html"), X.decode_entities(X.escape_html(t)).alias("back"), X.space_count(t).alias("spaces"))
 
 
 @query(f"""select project, pos, array_to_string(list_transform(list_filter(blocks, lambda b: b.type <> 'IMAGE'), lambda b: {_TEXT_OF_BLOCK}), chr(10) || chr(10)) as text from (select distinct project, pos, blocks from ocr_page)""")
@@ -469,10 +465,12 @@ def d6_percentile(spark, d):
     return D.percentile(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.1)
 
 
-@query("select o_custkey, case when sum(o_shippriority) = 0 then 0.0 else 0.0 end as size from (select o_custkey, 0 as o_shippriority from orders) group by o_custkey having false")
-def d11_average_size_of_none(spark, d):
-    """D11 on an empty selection: no rows."""
-    return D.average_size(table(spark, d, "orders").where("false").select("o_custkey", F.lit(0.0).alias("size"), F.lit(0).alias("words")), ["o_custkey"])
+@query(f"""
+with l as (select project, pos, b, max(s) as size, count(*) as n from {_WORDS} group by project, pos, b) select project, pos, sum(size * n) / cast(sum(n) as double) as size from l group by project, pos""")
+def d11_average_size(spark, d):
+    """Mean line size of each page."""
+    lines = _words(spark, d).groupBy("project", "pos", "b").agg(F.max("s").alias("size"), F.count("*").alias("words"))
+    return D.average_size(lines, ["project", "pos"])
 
 
 _BLOCKS = f"(select project, pos, cast(i - 1 as int) as idx, blocks[i].type as type, array_to_string(list_transform(blocks[i].spans, lambda s: coalesce(s.text, '')), '') as text from (select project, pos, blocks, unnest(range(1, len(blocks) + 1)) as i from (select distinct project, pos, blocks from ocr_page)))"
@@ -572,11 +570,13 @@ def j12_semi_join(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("select doc_id, page, line, part from (select doc_id, page, line, unnest(string_split_regex(trim(line), '\\s{2,}|\t')) as part from (select doc_id, 0 as page, unnest(string_split(text, chr(10))) as line from documents where text is not null and contains(text, chr(9))) where trim(line) <> '')")
+@query(f"""
+with l as (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^{X.BLANK}+|{X.BLANK}+$', '', 'g') as line from documents where text is not null)
+select doc_id, line, unnest(string_split_regex(line, '\\s{{2,}}|\\t')) as part from l where line <> ''""")
 def k12_text_cells(spark, d):
-    """Lines with tabs as table cells."""
-    lines = table(spark, d, "documents").where("text is not null and contains(text, '\t')").select("doc_id", F.lit(0).alias("page"), F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    return lines.select("doc_id", "page", "line", F.explode(F.split(F.trim("line"), r"\s{2,}|\t")).alias("part"))
+    """Lines as table cells."""
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", X.strip(F.col("line"))).where("line <> ''")
+    return lines.select("doc_id", "line", F.explode(F.split("line", r"\s{2,}|\t")).alias("part"))
 
 
 # ---------------------------------------------------------------- catalogue
@@ -618,10 +618,8 @@ with f as (select uri, max(is_dir) as is_dir, max(lower(name)) as name, max(size
 select uri, cast(row_number() over (order by is_dir desc, name nulls first, uri) as int) as place from f""")
 def cat5_file_order(spark, d):
     """P5: folders first, then names."""
-    from pyspark.sql import Window as W
-
     f = table(spark, d, "files").where("uri is not null").groupBy("uri").agg(F.max("is_dir").alias("is_dir"), F.max(F.lower("name")).alias("name"), F.max("size").alias("size"))
-    return f.select("uri", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*C.file_order("name"))).alias("place"))
+    return global_rank(f, C.file_order("name")).select("uri", "place")
 
 
 @query("select project, pos, idx from (select project, pos, idx, text from " + _BLOCKS + ") where contains(lower(text), 'kitob')")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import strip
 from leafmill.operators.formula import index_to_letters
 
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
@@ -129,11 +130,11 @@ def to_xlsx(cells: DataFrame) -> DataFrame:
 
 def text_to_cells(pages: DataFrame) -> DataFrame:
     """Lines of pages (doc, pos, text) as rows, cells apart by two or more blanks or a tab."""
-    lines = pages.select("doc", "pos", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("n", "line")).where(F.trim("line") != "")
+    lines = pages.select("doc", "pos", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("n", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
     from pyspark.sql import Window as W
 
     at = F.row_number().over(W.partitionBy("doc").orderBy("pos", "n")) - 1
-    return lines.withColumn("row", at).select(F.col("doc").alias("book"), F.lit(0).alias("sheet"), F.lit(None).cast("string").alias("sheet_name"), "row", F.posexplode(F.split(F.trim("line"), r"\s{2,}|\t")).alias("col", "raw"))
+    return lines.withColumn("row", at).select(F.col("doc").alias("book"), F.lit(0).alias("sheet"), F.lit(None).cast("string").alias("sheet_name"), "row", F.posexplode(F.split("line", r"\s{2,}|\t")).alias("col", "raw"))
 
 
 def save(files: DataFrame, path: str) -> None:
