@@ -141,7 +141,8 @@ class Words:
             short = len(core) <= 3 or (len(core) <= 6 and not core.isalpha())
             got = self.known[t] = (form, key, letters, cell, letters >= 3 and bool(_READABLE.match(form)) and pronounceable(form, key), symbols, core, len(form), as_number(core) if short else None, roman_core(core), key in self.common, 0)
             blank = not form or form in "|¦"
-            packed = letters | symbols << _F | len(form) << 2 * _F | cell << 3 * _F | got[4] << 4 * _F | (key in self.common) << 5 * _F | blank << 6 * _F | (letters >= 3) << 7 * _F
+            numeric = got[8] is not None or got[9] is not None or not core.isalpha()
+            packed = letters | symbols << _F | len(form) << 2 * _F | cell << 3 * _F | got[4] << 4 * _F | (key in self.common) << 5 * _F | blank << 6 * _F | (letters >= 3) << 7 * _F | numeric << 8 * _F
             got = self.known[t] = (*got[:-1], packed)
         return got
 
@@ -152,17 +153,17 @@ def kind_of(seen: list[tuple], pos: int) -> str:
 
 
 def _sums(seen: list[tuple]) -> tuple[int, ...]:
-    """Letters, symbols, characters, cells, readable words, common words, blank words and words of three letters of a line."""
+    """Letters, symbols, characters, cells, readable words, common words, blank words, words of three letters and words that may show a number of a line."""
     total = sum([w[11] for w in seen])
-    return (total & _M, total >> _F & _M, total >> 2 * _F & _M, total >> 3 * _F & _M, total >> 4 * _F & _M, total >> 5 * _F & _M, total >> 6 * _F & _M, total >> 7 * _F)
+    return (total & _M, total >> _F & _M, total >> 2 * _F & _M, total >> 3 * _F & _M, total >> 4 * _F & _M, total >> 5 * _F & _M, total >> 6 * _F & _M, total >> 7 * _F & _M, total >> 8 * _F)
 
 
 def _kind(seen: list[tuple], sums: tuple[int, ...], pos: int) -> str:
-    letters, _, chars, cells, readable, _, blank, wordlike = sums
+    letters, _, chars, cells, readable, _, blank, wordlike, numeric = sums
     n = len(seen) - blank
     if not n:
         return "junk"
-    if n <= 4 and shows_page([w[0] for w in seen], pos):
+    if n <= 4 and numeric and shows_page([w[0] for w in seen], pos):
         return "page"
     first, last = seen[0][0], seen[-1][0]
     if readable and n > 1:
