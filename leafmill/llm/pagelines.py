@@ -14,7 +14,7 @@ from functools import lru_cache, partial
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import glyphs
@@ -220,6 +220,21 @@ def _hash(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
+def block_lines(texts: list[str | None]) -> list[tuple[int, str]]:
+    """(block, line) of every printed line of a page's block texts that is not blank, in order."""
+    return [(k, line) for k, text in enumerate(texts) for line in (text or "").split("\n") if line.strip()]
+
+
+def wordless() -> Column:
+    """Whether a page has no words, so that its block texts stand in."""
+    return F.coalesce(F.size("words"), F.lit(0)) <= 0
+
+
+def block_texts() -> Column:
+    """The text of each block of a page."""
+    return F.transform("blocks", lambda k: F.concat_ws("", F.transform(F.coalesce(k["spans"], F.array()), lambda s: s["text"])))
+
+
 _WORDS: dict[frozenset[str], Words] = {}
 
 
@@ -231,7 +246,7 @@ def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterato
         for project, pos, ts, bs, texts in rows(batch, ("t", "b", "texts"), ("project", "pos")):
             w0 = 0
             if texts:
-                whole = [line for text in texts for line in (text or "").split("\n") if line.strip()]
+                whole = [line for _, line in block_lines(texts)]
                 ts = [w for line in whole for w in line.split()]
                 bs = [-1 - k for k, line in enumerate(whole) for _ in line.split()]
                 w0 = None
@@ -278,8 +293,7 @@ def page_lines(pages: DataFrame, common_words: frozenset[str] = frozenset()) ->
     ``words`` is null or empty the lines of the block texts stand in, with ``b`` below 0 and ``w0`` -1; null texts
     count as ''; rows repeated in ``pages`` are repeated here; a page without any text gives no line.
     """
-    texts = F.transform("blocks", lambda k: F.concat_ws("", F.transform(F.coalesce(k["spans"], F.array()), lambda s: s["text"])))
-    return pages.select("project", "pos", pages["words"]["t"].alias("t"), pages["words"]["b"].alias("b"), F.when(F.coalesce(F.size("words"), F.lit(0)) <= 0, texts).alias("texts")).mapInArrow(partial(_lines, common_words), LINES)
+    return pages.select("project", "pos", pages["words"]["t"].alias("t"), pages["words"]["b"].alias("b"), F.when(wordless(), block_texts()).alias("texts")).mapInArrow(partial(_lines, common_words), LINES)
 
 
 def common_keys(common_words: DataFrame) -> frozenset[str]:
