@@ -1,15 +1,14 @@
 """Problem 7: fill containers of fixed capacity with documents, measured in tokens.
 
 Each slice of the corpus is a shard with its own BM25 index: postings of every term of its documents.
-The largest unused document seeds a container; the index returns its unused lexical neighbours, best first, and
-they fill the window as long as they fit; what room is left takes the largest unused documents that still fit.
+The largest unused document seeds a container; the index ranks all its unused lexical neighbours, and the best that
+fits goes in until none does; what room is left takes the largest unused documents that still fit.
 A shard never leaves its task, so nothing is shuffled but the rests: containers that a shard leaves poorly
-filled are packed once more, together with those of other shards.
+filled are packed once more, together with those of other shards and with an index of their own.
 """
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import math
 from bisect import bisect_right
@@ -28,9 +27,11 @@ from leafmill.plans.staging import stage, table
 
 #: Documents and characters of a shard; what is beyond goes into the next shard of the same task.
 SHARD_DOCUMENTS, SHARD_CHARS = 4000, 12_000_000
+#: Tokens of the rests that are packed together.
+SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
-#: A seed asks for its rarest terms; a neighbour list ends with the first documents of best score.
-QUERY_TERMS, NEIGHBOURS = 12, 24
+#: Documents of a short neighbour list; containers are filled from the whole one.
+NEIGHBOURS = 24
 #: Containers filled less than this are opened again and packed with those of other shards.
 WELL_FILLED = 0.97
 
@@ -62,29 +63,26 @@ class Index:
             if len(docs) > 1:  # a term of one document leads nowhere
                 at, n = np.array(docs), np.array(often[term], float)
                 self.postings[term] = (at, self.idf[term] * n * (K1 + 1) / (n + norm[at]))
-        self.scores = np.zeros(n_docs)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents by falling score; ties by place."""
-        terms = heapq.nlargest(QUERY_TERMS, (t for t in self.bags[seed] if t in self.postings), key=lambda t: (self.idf[t], t))
-        found = []
-        for t in terms:
-            at, weight = self.postings[t]
-            self.scores[at] += weight
-            found.append(at)
+    def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """All ``unused`` documents that share a term with ``seed``, by falling score under all of its terms; ties by place."""
+        found = [self.postings[t] for t in self.bags[seed] if t in self.postings]
         if not found:
-            return []
-        near = np.unique(np.concatenate(found))
-        score = self.scores[near]
-        self.scores[near] = 0
-        keep = unused[near] & (near != seed)
-        near, score = near[keep], score[keep]
-        return near[np.lexsort((near, -score))[:NEIGHBOURS]].tolist()
+            return np.array([], int)
+        score = np.bincount(np.concatenate([at for at, _ in found]), np.concatenate([weight for _, weight in found]), len(self.bags))
+        near = np.flatnonzero(unused & (score > 0))
+        near = near[near != seed]
+        return near[np.argsort(-score[near], kind="stable")]
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
+        """The first of ``ranked``."""
+        return self.ranked(seed, unused)[:NEIGHBOURS].tolist()
 
 
 def pack(sizes: list[int], capacity: int, neighbours) -> list[list[int]]:
     """Containers of items: each holds at most ``capacity``; every item of 1 to ``capacity`` tokens is in exactly one."""
-    unused = np.array([0 < s <= capacity for s in sizes])
+    size_of = np.array(sizes, int)
+    unused = (size_of > 0) & (size_of <= capacity)
     left = sorted((s, i) for i, s in enumerate(sizes) if 0 < s <= capacity)
     gone = set()
     bins = []
@@ -95,14 +93,15 @@ def pack(sizes: list[int], capacity: int, neighbours) -> list[list[int]]:
             continue
         unused[seed] = False
         content, room = [seed], capacity - size
-        for i in neighbours(seed, unused) if room else ():
-            if sizes[i] <= room:
-                content.append(i)
-                room -= sizes[i]
-                unused[i] = False
-                gone.add(i)
-            if not room:
-                break
+        fits = unused & (size_of <= room)
+        near = np.array(neighbours(seed, fits) if fits.any() else (), int)
+        while len(near):
+            i = int(near[0])
+            content.append(i)
+            room -= sizes[i]
+            unused[i] = False
+            gone.add(i)
+            near = near[1:][size_of[near[1:]] <= room]
         while room and left:
             at = bisect_right(left, (room, len(sizes)))
             while at and left[at - 1][1] in gone:
@@ -162,20 +161,24 @@ def _shards(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str,
 
 def _pack(path: str, capacities: list[tuple[str, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name, docs, index in _shards(path, batches):
-        out = _rows(capacities, name, docs, index.neighbours)
+        out = _rows(capacities, name, docs, index.ranked)
         if not out:
             continue
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 
 
-def _repack(group: pa.Table) -> pa.Table:
-    """Pack the items of poorly filled containers by size alone; the group is bounded by its salt."""
-    items = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_id", "part", "tokens"))))
-    container, capacity, salt = (group.column(c)[0].as_py() for c in ("container", "capacity", "salt"))
-    out = []
-    for k, content in enumerate(pack([t for _, _, t in items], capacity, lambda seed, unused: ())):
-        out += [(container, capacity, f"r{salt}-{k}", place, items[i][0], items[i][1], items[i][2]) for place, i in enumerate(content)]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
+def _repack(path: str):
+    def repack(group: pa.Table) -> pa.Table:
+        """Pack the items of poorly filled containers with an index of their texts; the group is bounded by its salt."""
+        items = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_id", "part", "tokens", "text"))), key=lambda x: x[:3])
+        container, capacity, salt = (group.column(c)[0].as_py() for c in ("container", "capacity", "salt"))
+        index = Index([bag for bag, _ in Encoder(path).cut_and_count([text for *_, text in items])])
+        out = []
+        for k, content in enumerate(pack([x[2] for x in items], capacity, index.ranked)):
+            out += [(container, capacity, f"r{salt}-{k}", place, *items[i][:3]) for place, i in enumerate(content)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
+
+    return repack
 
 
 def fill(documents: DataFrame, containers: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -191,14 +194,15 @@ def fill(documents: DataFrame, containers: DataFrame, tokenizers: str = TOKENIZE
     packed = stage(documents.select("doc_id", "text").mapInArrow(partial(_pack, f"{tokenizers}/{vocabulary}", kinds), ITEMS))
     bins = packed.where("tokens > 0").groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("filled"), F.count("*").alias("pieces"))
     poor = bins.where(F.col("filled") < WELL_FILLED * F.col("capacity"))
-    n = poor.groupBy("container", "capacity").agg(F.sum("pieces").alias("n"))
-    salts = {(r["container"], r["capacity"]): max(1, math.ceil(r["n"] / 20_000)) for r in n.collect()}
+    n = poor.groupBy("container", "capacity").agg(F.sum("pieces").alias("n"), F.sum("filled").alias("tokens"))
+    salts = {(r["container"], r["capacity"]): max(1, math.ceil(r["n"] / SHARD_DOCUMENTS), math.ceil(r["tokens"] / SHARD_TOKENS)) for r in n.collect()}
     if not salts:
         return packed
     salt_of = F.coalesce(*[F.when((F.col("container") == c) & (F.col("capacity") == k), F.pmod(F.xxhash64("doc_id"), F.lit(m))) for (c, k), m in salts.items()], F.lit(0))
     key = ["container", "capacity", "bin"]
     again = packed.join(poor.select(*key), key, "left_semi").withColumn("salt", salt_of).select("container", "capacity", "salt", "doc_id", "part", "tokens")
-    return packed.join(poor.select(*key), key, "left_anti").unionByName(again.groupBy("container", "capacity", "salt").applyInArrow(_repack, ITEMS))
+    again = again.join(documents.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id", "left")
+    return packed.join(poor.select(*key), key, "left_anti").unionByName(again.groupBy("container", "capacity", "salt").applyInArrow(_repack(f"{tokenizers}/{vocabulary}"), ITEMS))
 
 
 def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,26 @@ def test_neighbours_against_brute_force():
         assert set(got) <= set(score) and [round(score[d], 6) for d in got] == [round(score[d], 6) for d in expected]
 
 
+def test_seed_reaches_every_neighbour_that_fits():
+    from collections import Counter
+
+    # 30 neighbours too large for the room rank above the one that fits; only a frequent term leads there; one without a common term is larger
+    bags = [Counter({"a": 1, "b": 1, **{f"r{k}": 1 for k in range(14)}})] + [Counter({f"r{k % 14}": 3, f"x{k}": 1, "b": 1}) for k in range(30)] + [Counter({"a": 1, "y": 9}), Counter({"z": 5}), Counter({"a": 1, "z": 2})]
+    sizes = [90, *[50] * 30, 5, 10, 40]
+    assert next(b for b in pack(sizes, 100, Index(bags).ranked) if 0 in b) == [0, 31]
+
+
+def test_rests_are_packed_with_an_index():
+    import pyarrow as pa
+
+    from leafmill.llm.packing import _repack
+
+    texts = ["river stone garden", "house cat tree", "river stone boat", "sun moon star"]
+    group = pa.table({"container": ["s"] * 4, "capacity": pa.array([100] * 4, pa.int32()), "salt": [0] * 4, "doc_id": [1, 2, 3, 4], "part": pa.array([0] * 4, pa.int32()), "tokens": [60, 40, 30, 38], "text": texts})
+    rows = _repack(f"{TOKENIZERS}/{VOCABULARY}")(group).to_pylist()
+    assert {r["doc_id"] for r in rows if r["bin"] == "r0-0"} == {1, 3}
+
+
 def test_fill(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choices(["river", "stone", "garden", "кит", "уй"], k=rng.randint(1, 90))) for _ in range(200)] + [None, "", "long " * 700, "dup", "dup"]
