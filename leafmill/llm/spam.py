@@ -4,7 +4,7 @@ Every token becomes a class: a function word itself, a number, a price, a link,
 by its shape, with its closing punctuation, marked if its pair has come back in the same stretch. A
 trigram model over class sequences, fitted on a bounded sample of prose (``SAMPLE_DOCUMENTS`` of smallest hash), gives
 every stretch of a document a perplexity. A document is a candidate if much of its text lies in stretches whose
-perplexity is abnormally high or low for prose; an exact check then measures how much of the text is
+perplexity is abnormally high or low for prose, by exact quantiles over all prose documents; an exact check then measures how much of the text is
 links, tags and repeated keywords, so that contents, tables, lists and junk, abnormal too, are left out.
 """
 
@@ -18,11 +18,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmill.llm import glyphs
 from leafmill.llm.pagelines import Words, common_keys
+from leafmill.llm.quality import exact_ranks
 from leafmill.llm.ragged import slices
-from leafmill.plans.staging import hashed_sample, table
+from leafmill.plans.staging import hashed_sample, stage, table
 
 SAMPLE_DOCUMENTS = 4000
 #: Tokens of a stretch, and the share of prose stretches that each abnormal tail may hold.
@@ -49,7 +51,8 @@ _CURRENCY = frozenset("$ € ₽ UZS USD EUR RUB soʻm so'm сўм сум руб
 _ENTRY = regex.compile(r"^\(?\d{1,3}[.)]$|^[*–-]$")
 _NOT_KEY = regex.compile(r"[^\p{L}ʻʼ'-]+")
 
-SCORES = "doc_id bigint, chars bigint, abnormal double, perplexity double, links double, tags double, products double, repeated double"
+SHARES = ("links", "tags", "products", "repeated")
+MEASURES = "doc_id bigint, chars bigint, sizes array<bigint>, bits array<double>, perplexity double, prose boolean, " + ", ".join(f"{c} double" for c in SHARES)
 
 
 _KEYS: dict[str, str] = {}
@@ -238,17 +241,18 @@ class Trigrams:
 
 
 class Prose:
-    """The fitted model with the bounds between which the perplexity of prose lies."""
+    """The fitted model."""
 
     def __init__(self, texts: list[str], common: frozenset[str]) -> None:
         classes, shares = Classes(common), Shares()
         self.common = common
-        prose = [t for t in texts if sum(shares(t)) < 0.02 and self._sentences(t)]
-        sequences = [classes(t.split()) for t in prose]
+        sequences = [classes(t.split()) for t in texts if self.is_prose(t, shares(t))]
         # the marks of repetition are not learned: a repeated pair always surprises
         self.model = Trigrams([[c.rstrip("+") for c in s] for s in sequences])
-        bits = sorted(b for s in sequences for _, _, b in self.model.stretches(s))
-        self.low, self.high = (bits[int(TAIL * (len(bits) - 1))], bits[int((1 - TAIL) * (len(bits) - 1))]) if bits else (-math.inf, math.inf)
+
+    @classmethod
+    def is_prose(cls, text: str, shares: tuple[float, ...]) -> bool:
+        return sum(shares) < 0.02 and cls._sentences(text)
 
     @staticmethod
     def _sentences(text: str) -> bool:
@@ -263,8 +267,8 @@ def fit_on(documents: DataFrame, common: frozenset[str]) -> Prose:
     return Prose([r["text"] for r in sample.select("text").collect()], common)
 
 
-def _score(prose):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(prose):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Prose = prose.value
         classes, shares = Classes(own.common), Shares()
         for batch in slices(batches):
@@ -272,28 +276,43 @@ def _score(prose):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 tokens = (text or "").split()
                 if not tokens:
-                    out.append((doc_id, 0, 0.0, None, 0.0, 0.0, 0.0, 0.0))
+                    out.append((doc_id, 0, [], [], None, False, 0.0, 0.0, 0.0, 0.0))
                     continue
                 stretches = own.model.stretches(classes(tokens))
                 sizes = [sum(map(len, tokens[i:j])) for i, j, _ in stretches]
                 total = sum(sizes)
-                abnormal = sum(n for n, (_, _, b) in zip(sizes, stretches) if not own.low <= b <= own.high) / total
                 bits = sum(n * b for n, (_, _, b) in zip(sizes, stretches)) / total
-                out.append((doc_id, total, abnormal, 2**bits, *(shares(text) if abnormal >= CANDIDATE_SHARE else (0.0, 0.0, 0.0, 0.0))))
-            kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 6)
-            cols = list(zip(*out)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in SCORES.split(", ")])
+                found = shares(text)
+                out.append((doc_id, total, sizes, [b for *_, b in stretches], 2**bits, own.is_prose(text, found), *found))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.bool_(), *[pa.float64()] * 4)
+            cols = list(zip(*out)) or [[]] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in MEASURES.split(", ")])
+
+    return measure
+
 
-    return score
+def prose_bounds(measured: DataFrame) -> tuple[float, float] | None:
+    """The bits between which the stretches of all prose documents lie but for ``TAIL`` at either end, as exact quantiles; none without prose."""
+    values = measured.where("prose").select(F.lit("prose").alias("grp"), F.lit("bits").alias("stat"), F.explode("bits").alias("value"))
+    at = [F.floor(F.lit(share) * (F.col("n") - 1)) for share in (TAIL, 1 - TAIL)]
+    holds = [(F.col("below") <= k) & (k < F.col("upto")) for k in at]
+    ends = sorted(r["value"] for r in exact_ranks(values).where(holds[0] | holds[1]).select("value").collect())
+    return (ends[0], ends[-1]) if ends else None
 
 
 def scores(documents: DataFrame, prose: Prose) -> DataFrame:
     """Perplexity, share of abnormal text and, for candidates, shares of spam of every row of ``documents``.
 
     Null, empty and blank texts have no perplexity and no shares; repeated rows stay repeated; other columns are not read.
+    Where no document is prose, or the model has seen none, all text is abnormal, so that every document is a candidate.
     """
     shared = documents.sparkSession.sparkContext.broadcast(prose)
-    return documents.select("doc_id", "text").mapInArrow(_score(shared), SCORES)
+    measured = stage(documents.select("doc_id", "text").mapInArrow(_measure(shared), MEASURES))
+    bounds = prose_bounds(measured) if prose.model.one else None
+    low, high = bounds or (math.inf, -math.inf)
+    outside = F.aggregate(F.arrays_zip("sizes", "bits"), F.lit(0).cast("bigint"), lambda n, s: n + F.when((s["bits"] < low) | (s["bits"] > high), s["sizes"]).otherwise(0))
+    scored = measured.withColumn("abnormal", outside / F.greatest("chars", F.lit(1)))
+    return scored.select("doc_id", "chars", "abnormal", "perplexity", *(F.when(F.col("abnormal") >= CANDIDATE_SHARE, F.col(c)).otherwise(0.0).alias(c) for c in SHARES))
 
 
 def stuffed(scored: DataFrame) -> DataFrame:

@@ -64,3 +64,26 @@ def test_documents(spark):
     assert {r.doc_id: r.perplexity for r in scored.where("doc_id between 103 and 105").collect()} == {103: None, 104: None, 105: None}
     assert stuffed(scores(docs.unionAll(docs), model)).count() == 4 and scores(docs.where("false"), model).count() == 0
     assert Prose([], frozenset()).model.stretches(["low"]) != []
+
+
+def test_bounds_are_those_of_all_prose(spark):
+    rng = random.Random(3)
+    shares = Shares()
+    texts = [t for t in (prose(rng) for _ in range(1500)) if Prose.is_prose(t, shares(t))][:80]
+    assert len(texts) > 20
+    spam = "\n".join(f"Katta {rng.choice(WORDS)} arzon A4 {rng.randint(2, 90)} 000 UZS" for _ in range(30))
+    docs = spark.createDataFrame([*enumerate(texts), (100, spam)], "doc_id bigint, text string")
+    # a model of three documents, the bounds of all
+    model = Prose(texts[:3], frozenset({"bilan"}))
+    classes = Classes(frozenset({"bilan"}))
+    of = [model.model.stretches(classes(t.split())) for t in texts]
+    bits = sorted(b for s in of for *_, b in s)
+    low, high = bits[int(0.01 * (len(bits) - 1))], bits[int(0.99 * (len(bits) - 1))]
+    got = {r.doc_id: r.abnormal for r in scores(docs, model).collect()}
+    for i, (text, stretches) in enumerate(zip(texts, of)):
+        sizes = [sum(map(len, text.split()[a:b])) for a, b, _ in stretches]
+        assert abs(got[i] - sum(n for n, (*_, b) in zip(sizes, stretches) if not low <= b <= high) / sum(sizes)) < 1e-9
+    # spam is found where no document is prose, and where the sample holds none
+    alone = docs.where("doc_id = 100")
+    for rows, fitted in ((alone, model), (alone, Prose([], frozenset())), (docs, Prose([], frozenset()))):
+        assert [r.doc_id for r in stuffed(scores(rows, fitted)).collect()] == [100]
