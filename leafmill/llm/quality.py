@@ -23,8 +23,6 @@ TAILS = {
     "table": {"table_lines": 1, "symbols": 1, "common": -1, "word_length": -1},
     "junk": {"junk_lines": 1, "symbols": 1, "common": -1, "word_length": -1},
 }
-#: A page scores as an outlier of a kind from a joint tail probability of e to the minus this, under independence.
-MIN_SCORE = 3.0
 MIN_SHARE = 0.5
 _SORTED = 64
 
@@ -91,8 +89,8 @@ def scored_pages(labels: DataFrame, lines: DataFrame, repeated: DataFrame) -> Da
 
 
 def page_kinds(scored: DataFrame) -> DataFrame:
-    """(project, pos, kind) of pages that score as outliers of a kind and have most of their lines of it."""
-    kind = F.coalesce(*[F.when((F.col(f"{k}_score") >= MIN_SCORE) & (F.col(f"{k}_lines") > MIN_SHARE), k) for k in TAILS])
+    """(project, pos, kind) of pages that have most of their lines of a kind, however common it is in their language; scores do not decide."""
+    kind = F.coalesce(*[F.when(F.col(f"{k}_lines") > MIN_SHARE, k) for k in TAILS])
     return scored.select("project", "pos", kind.alias("kind")).where("kind is not null")
 
 

@@ -130,3 +130,11 @@ def test_page_kinds(spark):
     stats = page_statistics(lines.where("false"), none)
     assert stats.count() == 0 and set(STATISTICS) <= set(stats.columns)
     assert outlier_scores(stats.withColumn("grp", stats["project"])).count() == 0
+
+
+def test_page_kinds_where_the_kind_is_common(spark):
+    # most pages of one language are lists, and a label stands on one page alone
+    pages = frame(spark, *[page("p", i, *[f"{k}. Katta kitob" for k in range(1, 8)]) for i in range(5)], page("p", 5, *PROSE), page("p", 6, *[f"{k}. Книга" for k in range(1, 8)], language="rus"))
+    lines, none = page_lines(pages), spark.createDataFrame([], "path bigint")
+    got = {(r.pos, r.kind) for r in page_kinds(scored_pages(page_labels(pages), lines, none)).collect()}
+    assert got == {(i, "list") for i in (0, 1, 2, 3, 4, 6)}
