@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 
-#: A side of a join is broadcast only if its Parquet size is at most this many bytes.
-BROADCAST_BYTES = 8_000_000
+#: A side of a join is broadcast only if its Parquet size is at most this many bytes, and its rows at most so many: columns of
+#: few distinct values take many times their Parquet size in memory.
+BROADCAST_BYTES, BROADCAST_ROWS = 8_000_000, 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset a temporary one, which only a local session may have."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="leafmill_")
@@ -29,10 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[app]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The application's own part of the shared folder; it is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/leafmill-{app}"
+    if app not in _CLEARED:
+        _CLEARED.add(app)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+_CLEARED: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session has ended, and with it the way to the folder
+        pass
+
+
 def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and executors may be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/stage-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -51,10 +76,18 @@ def staged_bytes(df: DataFrame) -> int:
     return fs.getContentSummary(path).getLength()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` staged; hinted for broadcast if its size is within ``limit``, else left to a shuffled join."""
+def range_partitions(staged: DataFrame, bytes_each: int) -> int:
+    """How many partitions of about ``bytes_each`` a staged table gives, at least the session's shuffle partitions."""
+    few = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(few, 64), -(-staged_bytes(staged) // bytes_each))
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` staged; hinted for broadcast if its bytes are within ``limit`` and its count within ``rows``, else left to a shuffled join."""
     staged = stage(df)
-    return F.broadcast(staged) if staged_bytes(staged) <= limit else staged
+    size = staged_bytes(staged)
+    # Parquet of fewer bytes than this holds no more rows than allowed only if rows take a byte each, so they are counted
+    return F.broadcast(staged) if size <= limit and (size <= 64_000 or staged.count() <= rows) else staged
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:
