@@ -3,18 +3,21 @@
 Per language and statistic, exact ranks come from one range-partitioned sort: equal values are
 counted first (so a value that most pages share is one row), the sorted partitions are ranked locally
 and shifted by the sizes of the partitions before them. Ranks give empirical tail probabilities, and the
-sums of their negative logarithms are outlier scores for each kind of page.
+weighted sums of their negative logarithms are outlier scores for each kind of page. A page is of a kind if its score
+reaches the bound of its language: the score of a page that is half of that kind and in no other statistic out of the ordinary.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.llm.boilerplate import page_counts, repeated_templates
 from leafmill.llm.pagelines import common_keys, page_lines
-from leafmill.plans.staging import small, stage, table
+from leafmill.plans.staging import range_partitions, small, stage, table
 
 STATISTICS = ("list_lines", "table_lines", "junk_lines", "symbols", "word_length", "ended", "common", "line_words")
 # The tail (1 upper, -1 lower) of each statistic in which pages of a kind lie.
@@ -23,11 +26,17 @@ TAILS = {
     "table": {"table_lines": 1, "symbols": 1, "common": -1, "word_length": -1},
     "junk": {"junk_lines": 1, "symbols": 1, "common": -1, "word_length": -1},
 }
-MIN_SHARE = 0.5
-_SORTED = 64
+#: Weights of a kind's own statistic and of each general one, which the three kinds share.
+OWN_WEIGHT, GENERAL_WEIGHT = 1.0, 0.01
+#: A general statistic adds to a score beyond this tail of its language.
+GENERAL_TAIL = 0.1
+#: Share of lines of a kind of the page that sets the bound.
+BOUNDARY = 0.5
+#: Staged bytes of one range partition of the ranks.
+_RANGE_BYTES = 64_000_000
 
 
-def main_language(label) -> F.Column:
+def main_language(label) -> Column:
     """First language of a label such as ``uzb+eng``; ``und`` where it names none."""
     first = F.lower(F.trim(F.substring_index(F.coalesce(label, F.lit("")), "+", 1)))
     return F.when(first.isin("uzb", "uzb_cyrl", "rus", "eng"), first).otherwise("und")
@@ -54,10 +63,10 @@ def exact_ranks(values: DataFrame) -> DataFrame:
     """(grp, stat, value, below, upto, n) for every distinct value of ``values`` (grp, stat, value).
 
     ``below`` and ``upto`` count the values of the group's statistic that are smaller, and not greater; ``n`` counts all.
-    Nulls and NaN are left out; ties share one row; empty input gives no rows.
+    Nulls and NaN are left out; ties share one row; empty input gives no rows. As many ranges are sorted as the counted values need.
     """
-    counted = values.where("value is not null and not isnan(value)").groupBy("grp", "stat", "value").agg(F.count("*").alias("k"))
-    at = stage(counted.repartitionByRange(_SORTED, "grp", "stat", "value").withColumn("part", F.spark_partition_id()))
+    counted = stage(values.where("value is not null and not isnan(value)").groupBy("grp", "stat", "value").agg(F.count("*").alias("k")))
+    at = stage(counted.repartitionByRange(range_partitions(counted, _RANGE_BYTES), "grp", "stat", "value").withColumn("part", F.spark_partition_id()))
     sizes = at.groupBy("grp", "stat", "part").agg(F.sum("k").alias("size"))
     before = W.partitionBy("grp", "stat").orderBy("part")
     offsets = sizes.select("grp", "stat", "part", (F.sum("size").over(before) - F.col("size")).alias("offset"), F.sum("size").over(W.partitionBy("grp", "stat")).alias("n"))
@@ -67,14 +76,28 @@ def exact_ranks(values: DataFrame) -> DataFrame:
 
 
 def outlier_scores(statistics: DataFrame) -> DataFrame:
-    """``statistics`` (project, pos, grp and ``STATISTICS``) with a score per kind: the sum of its negative log tail probabilities."""
+    """``statistics`` (project, pos, grp and ``STATISTICS``) with, for each kind, ``_score`` and the language's ``_bound``.
+
+    A score is the weighted sum of the negative log tail probabilities of the kind's ``TAILS``. Of the general statistics only what
+    lies beyond ``GENERAL_TAIL`` counts, so that an ordinary page has 0 there. The bound is null in a language
+    that has no page with more than half of its lines of the kind.
+    """
     long = statistics.select("project", "pos", "grp", F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in STATISTICS])).alias("s")).select("project", "pos", "grp", "s.*")
     ranks = small(exact_ranks(long.select("grp", "stat", "value")))
     upper = -F.log((F.col("n") - F.col("below")) / F.col("n"))
     lower = -F.log(F.col("upto") / F.col("n"))
-    score = lambda tails: F.sum(F.coalesce(*[F.when(F.col("stat") == s, upper if side > 0 else lower) for s, side in tails.items()], F.lit(0.0)))
-    scores = long.join(ranks, ["grp", "stat", "value"]).groupBy("project", "pos").agg(*[score(tails).alias(f"{kind}_score") for kind, tails in TAILS.items()])
-    return statistics.join(scores, ["project", "pos"])
+
+    def term(kind: str, stat: str, side: int) -> Column:
+        tail = upper if side > 0 else lower
+        return OWN_WEIGHT * tail if stat == f"{kind}_lines" else GENERAL_WEIGHT * F.greatest(tail + math.log(GENERAL_TAIL), F.lit(0.0))
+
+    score = lambda kind: F.sum(F.coalesce(*[F.when(F.col("stat") == s, term(kind, s, side)) for s, side in TAILS[kind].items()], F.lit(0.0)))
+    scores = long.join(ranks, ["grp", "stat", "value"]).groupBy("project", "pos").agg(*[score(kind).alias(f"{kind}_score") for kind in TAILS])
+    more = F.col("n") - F.coalesce(F.max(F.when(F.col("value") <= BOUNDARY, F.col("upto"))), F.lit(0))
+    above = ranks.where(F.col("stat").isin(*[f"{k}_lines" for k in TAILS])).groupBy("grp", "stat", "n").agg(more.alias("above")).where("above > 0")
+    bound = lambda kind: F.max(F.when(F.col("stat") == f"{kind}_lines", -OWN_WEIGHT * F.log(F.col("above") / F.col("n")))).alias(f"{kind}_bound")
+    bounds = small(above.groupBy("grp").agg(*map(bound, TAILS)))
+    return statistics.join(scores, ["project", "pos"]).join(bounds, "grp", "left")
 
 
 def page_labels(pages: DataFrame) -> DataFrame:
@@ -89,9 +112,10 @@ def scored_pages(labels: DataFrame, lines: DataFrame, repeated: DataFrame) -> Da
 
 
 def page_kinds(scored: DataFrame) -> DataFrame:
-    """(project, pos, kind) of pages that have most of their lines of a kind, however common it is in their language; scores do not decide."""
-    kind = F.coalesce(*[F.when(F.col(f"{k}_lines") > MIN_SHARE, k) for k in TAILS])
-    return scored.select("project", "pos", kind.alias("kind")).where("kind is not null")
+    """(project, pos, kind) of the pages whose outlier score reaches the bound of a kind; of several the one exceeded by most, of ties the last by name."""
+    # logarithms of equal ratios may differ by their last bits
+    over = [F.when(F.col(f"{k}_score") > F.col(f"{k}_bound") - 1e-9, F.struct((F.col(f"{k}_score") - F.col(f"{k}_bound")).alias("by"), F.lit(k).alias("kind"))) for k in TAILS]
+    return scored.select("project", "pos", F.greatest(*over)["kind"].alias("kind")).where("kind is not null")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
