@@ -1,11 +1,10 @@
 """Problem 8: pages of stuffed keywords, links or product tags.
 
-Every token becomes a class: a function word itself, a number, a price, a link, a tag, a sign, a word
-by its shape, with its closing punctuation, marked if its pair has come back in the same stretch. A
-trigram model over class sequences, fitted on a bounded sample of prose (``SAMPLE_DOCUMENTS`` of smallest hash), gives
-every stretch of a document a perplexity. A document is a candidate if much of its text lies in stretches whose
-perplexity is abnormally high or low for prose, by exact quantiles over all prose documents; an exact check then measures how much of the text is
-links, tags and repeated keywords, so that contents, tables, lists and junk, abnormal too, are left out.
+Every token becomes a class: a function word itself, a number, a price, a sign, a word by its shape, with its closing
+punctuation. A token that stands in an item of links, of tags or of products, or whose pair keeps coming back, is of another
+class than the same word in a sentence. A trigram model over the class sequences of all prose documents, which are those without such tokens,
+gives every stretch of a document a perplexity. A document is found if more than half of its text lies in
+stretches whose perplexity is abnormally high or low, by exact quantiles over the stretches of all prose documents.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 import regex
@@ -24,22 +24,25 @@ from leafmill.llm import glyphs
 from leafmill.llm.pagelines import Words, common_keys
 from leafmill.llm.quality import exact_ranks
 from leafmill.llm.ragged import slices
-from leafmill.plans.staging import hashed_sample, stage, table
-
-SAMPLE_DOCUMENTS = 4000
-#: Tokens of a stretch, and the share of prose stretches that each abnormal tail may hold.
-STRETCH, TAIL = 40, 0.01
-#: Least share of abnormal text of a candidate, and of spam in a case.
-CANDIDATE_SHARE, SPAM_SHARE = 0.3, 0.5
+from leafmill.plans.staging import stage, table
+
+#: Tokens of a stretch, and the share of prose stretches that each abnormal tail holds.
+STRETCH, TAIL = 40, 0.002
+#: Least share of abnormal text of a case.
+SPAM_SHARE = 0.5
+#: Trigrams rarer than this among all are left to the shorter contexts, so that a model has at most a million of them.
+RAREST = 1e-6
 #: A pair of words is a repeated keyword where it stands this often among ``WINDOW`` tokens.
 REPEATS, WINDOW = 3, 100
 #: An item of at most so many words is a tag where a word of it stands so often in a stretch of items.
 TAG_WORDS, TAG_REPEATS = 5, 6
-#: A link is named by at most so many words before it.
+#: A link is named by at most so many words before it, and an item of at most so many beside links is one of links.
 _NAMED = 8
+#: An item of a product has at most so many words.
+_PRODUCT = 10
 
-_LINK = regex.compile(r"(https?:)?//\S+|www\.\S+|\b[\w-]+(\.[\w-]+)*\.(test|example|invalid|com|net|org|info|uz|ru|io|me)\b(/\S*)?|\b[\w-]+ ?\[\.\] ?\w+", regex.I)
-_LINK_HINT = regex.compile(r"//|www\.|\[\.\]|\.(test|example|invalid|com|net|org|info|uz|ru|io|me)\b", regex.I)
+_LINK = regex.compile(r"(?i:(https?:)?//\S+|www\.\S+)|\b[\w-]+(\.[\w-]+)*\.[a-z]{2,24}\b(/\S*)?|\b[\w-]+ ?\[\.\] ?\w+")
+_LINK_HINT = regex.compile(r"//|(?i:www)\.|\[\.\]|\w\.[a-z]{2}")
 _PRICE = regex.compile(r"\d[\d ]*(\$|€|₽|UZS|USD|EUR|RUB|soʻm|so'm|сўм|сум|руб)|[$€]\s?\d", regex.I)
 _NUMBER = regex.compile(r"^[\d.,:/%–-]+$")
 _CITED = regex.compile(r"\b(1[89]|20)\d\d[.,]")
@@ -50,9 +53,12 @@ _CURRENCY = frozenset("$ € ₽ UZS USD EUR RUB soʻm so'm сўм сум руб
 #: What an entry of a list begins with.
 _ENTRY = regex.compile(r"^\(?\d{1,3}[.)]$|^[*–-]$")
 _NOT_KEY = regex.compile(r"[^\p{L}ʻʼ'-]+")
+#: Signs of the classes of tokens in items of links, of products and of tags, and of repeated pairs.
+LINKED, PRICED, TAGGED, REPEATED = "@", "$", "#", "+"
+#: The class that begins every item.
+ITEM = "/"
 
-SHARES = ("links", "tags", "products", "repeated")
-MEASURES = "doc_id bigint, chars bigint, sizes array<bigint>, bits array<double>, perplexity double, prose boolean, " + ", ".join(f"{c} double" for c in SHARES)
+SEQUENCES = "doc_id bigint, prose boolean, stretches array<string>, sizes array<bigint>"
 
 
 _KEYS: dict[str, str] = {}
@@ -104,64 +110,6 @@ def tagged(items: list[list[str]]) -> list[bool]:
     return [hit and len(item) <= TAG_WORDS for hit, item in zip(out, items)]
 
 
-class Shares:
-    """How much of a text is links, tags, product tags and repeated keywords, in characters that print."""
-
-    def __call__(self, text: str) -> tuple[float, float, float, float]:
-        # in print form, so that wide letters and invisible marks hide nothing
-        lines = [line for line in unicodedata.normalize("NFKC", text).translate(_INVISIBLE).split("\n") if line.strip()]
-        heard = Counter(lines)
-        refrains = 3 * len(heard) >= len(lines)
-        total = links = tags = products = 0
-        kept: list[list[str]] = []
-        for line in lines:
-            # a refrain comes back as a whole line of verse; it counts as a keyword only where most lines come back
-            refrain = refrains and heard[line] > 1 and len(line.split()) >= 4
-            for segment in _SEGMENT.split(line) if "•" in line or "|" in line or "·" in line or "  " in line else (line,):
-                tokens = segment.split()
-                n = sum(map(len, tokens))
-                total += n
-                tagged = sum(len(t) for t in tokens if t[0] == "#" and len(t) > 1) if "#" in segment else 0
-                tags += tagged
-                if _LINK_HINT.search(segment):
-                    rest = _LINK.sub(" ", segment)
-                    if _CITED.search(rest):
-                        continue
-                    if len(rest.split()) <= 8:
-                        links += 0 if _PLAIN_DOMAIN.match(segment) else n - tagged
-                    else:
-                        links += self._listed(segment)
-                elif len(tokens) <= 10 and _PRICE.search(segment):
-                    products += n - tagged
-                elif not refrain:
-                    kept.append([t for t in tokens if t[0] != "#"])
-        repeated = self._repeated(kept)
-        total = max(total, 1)
-        return links / total, tags / total, products / total, repeated / total
-
-
-    @staticmethod
-    def _repeated(kept: list[list[str]]) -> int:
-        """Characters of repeated keywords and of tags."""
-        again = iter(repeats([t for item in kept for t in item]))
-        marked = [[next(again) for _ in item] for item in kept]
-        short = [item if 0 < len(item) <= TAG_WORDS and item[-1][-1] not in ".!?…," and not _ENTRY.match(item[0]) else [] for item in kept]
-        tags = tagged(short) if sum(map(bool, short)) >= TAG_REPEATS else [False] * len(kept)
-        return sum(sum(map(len, item)) if tag else sum(len(t) for t, hit in zip(item, hits) if hit) for item, hits, tag in zip(kept, marked, tags))
-
-    @staticmethod
-    def _listed(segment: str) -> int:
-        """Characters of the links of a long segment and of the few words before each that name it."""
-        end = found = 0
-        for m in _LINK.finditer(segment):
-            before = segment[end : m.start()].split()
-            if len(before) <= _NAMED and not any(t[-1] in ".!?…" for t in before):
-                found += sum(map(len, before))
-            found += len(m[0].replace(" ", "")) if end or "/" in m[0] else 0
-            end = m.end()
-        return found
-
-
 class Classes:
     """Classes of the tokens of a text."""
 
@@ -171,6 +119,7 @@ class Classes:
         self.known: dict[str, str] = {}
 
     def of(self, token: str) -> str:
+        """The class of a token by itself."""
         got = self.known.get(token)
         if got is None:
             if len(self.known) > 200_000:
@@ -195,98 +144,173 @@ class Classes:
             self.known[token] = got
         return got
 
-    def __call__(self, tokens: list[str]) -> list[str]:
-        return [c + "+" if again and c[0] not in "=NS" else c for c, again in zip(map(self.of, tokens), repeats(tokens))]
+    def items(self, text: str) -> list[tuple[list[str], list[str]]]:
+        """(tokens, signs of their classes) of every item: of every line, or of what signs or wide blanks part it into."""
+        # in print form, so that wide letters and invisible marks hide nothing
+        lines = [line for line in unicodedata.normalize("NFKC", text).translate(_INVISIBLE).split("\n") if line.strip()]
+        heard = Counter(lines)
+        refrains = 3 * len(heard) >= len(lines)
+        out: list[tuple[list[str], list[str]]] = []
+        plain: list[int] = []
+        for line in lines:
+            # a refrain comes back as a whole line of verse; it counts as a keyword only where most lines come back
+            refrain = refrains and heard[line] > 1 and len(line.split()) >= 4
+            for segment in _SEGMENT.split(line) if "•" in line or "|" in line or "·" in line or "  " in line else (line,):
+                tokens = segment.split()
+                if not tokens:
+                    continue
+                signs = [""] * len(tokens)
+                if _LINK_HINT.search(segment) and (links := _linked(segment, tokens)) is not None:
+                    signs = links
+                elif len(tokens) <= _PRODUCT and _PRICE.search(segment):
+                    signs = [PRICED] * len(tokens)
+                elif not refrain:
+                    plain.append(len(out))
+                if "#" in segment:
+                    signs = [TAGGED if t[0] == "#" and len(t) > 1 else s for t, s in zip(tokens, signs)]
+                out.append((tokens, signs))
+        self._repeated([out[i] for i in plain])
+        return out
+
+    @staticmethod
+    def _repeated(items: list[tuple[list[str], list[str]]]) -> None:
+        """Sign the tokens of repeated pairs, and those of short items whose words keep coming back."""
+        own = [[k for k, sign in enumerate(signs) if not sign] for _, signs in items]
+        again = iter(repeats([tokens[k] for (tokens, _), ks in zip(items, own) for k in ks]))
+        for (_, signs), ks in zip(items, own):
+            for k in ks:
+                if next(again):
+                    signs[k] = REPEATED
+        short = [[tokens[k] for k in ks] for (tokens, _), ks in zip(items, own)]
+        short = [item if 0 < len(item) <= TAG_WORDS and item[-1][-1] not in ".!?…," and not _ENTRY.match(item[0]) else [] for item in short]
+        if sum(map(bool, short)) >= TAG_REPEATS:
+            for (_, signs), tag in zip(items, tagged(short)):
+                if tag:
+                    signs[:] = [s or TAGGED for s in signs]
+
+    def __call__(self, text: str) -> tuple[bool, list[str], list[int]]:
+        """(whether no token is signed, classes of each stretch of at most ``STRETCH`` tokens, its characters that print).
+
+        A stretch lies in one item, and a short rest joins the stretch before it. The first stretch of an item begins with ``ITEM``.
+        """
+        prose, stretches, sizes = True, [], []
+        for tokens, signs in self.items(text):
+            prose = prose and not any(signs)
+            named = [self.of(t) + s for t, s in zip(tokens, signs)]
+            cuts = list(range(0, len(tokens), STRETCH))
+            if len(cuts) > 1 and len(tokens) - cuts[-1] < STRETCH // 2:
+                cuts.pop()
+            for i, j in zip(cuts, [*cuts[1:], len(tokens)]):
+                stretches.append((ITEM + " " if i == 0 else "") + " ".join(named[i:j]))
+                sizes.append(sum(map(len, tokens[i:j])))
+        return prose, stretches, sizes
+
+
+def _linked(segment: str, tokens: list[str]) -> list[str] | None:
+    """The signs of an item with links: of all tokens if few others stand there, else of links and of the few words before each that name it; none for a cited source."""
+    rest = _LINK.sub(" ", segment)
+    if _CITED.search(rest):
+        return [""] * len(tokens)
+    if len(rest.split()) <= _NAMED:
+        return [""] * len(tokens) if _PLAIN_DOMAIN.match(segment) else [LINKED] * len(tokens)
+    signs, since = [""] * len(tokens), 0
+    for i, t in enumerate(tokens):
+        if not _LINK_HINT.search(t):
+            continue
+        if since or "/" in t:
+            signs[i] = LINKED
+        if i - since <= _NAMED and not any(x[-1] in ".!?…" for x in tokens[since:i]):
+            signs[since:i] = [LINKED] * (i - since)
+        since = i + 1
+    return signs if any(signs) else None
 
 
 class Trigrams:
-    """Interpolated class trigrams; unseen classes have a small floor."""
+    """Interpolated class trigrams from their counts; unseen classes have a small floor."""
 
-    def __init__(self, sequences: list[list[str]]) -> None:
+    def __init__(self, counts: dict[tuple[str, str, str], int]) -> None:
+        self.three = counts
         self.one: Counter = Counter()
         self.two: Counter = Counter()
-        self.three: Counter = Counter()
-        for s in sequences:
-            padded = ["^", "^", *s]
-            self.one.update(s)
-            self.two.update(zip(padded[1:], s))
-            self.three.update(zip(padded, padded[1:], s))
-        self.n = max(sum(self.one.values()), 1)
         self.before: Counter = Counter()
         self.before2: Counter = Counter()
-        for (a, _), k in self.two.items():
-            self.before[a] += k
-        for (a, b, _), k in self.three.items():
+        for (a, b, c), k in counts.items():
+            self.one[c] += k
+            self.two[b, c] += k
+            self.before[b] += k
             self.before2[a, b] += k
+        self.n = max(sum(self.one.values()), 1)
         self.cache: dict[tuple, float] = {}
 
     def cost(self, a: str, b: str, c: str) -> float:
         """Bits of ``c`` after ``a`` and ``b``."""
         got = self.cache.get((a, b, c))
         if got is None:
-            p = 0.6 * self.three[a, b, c] / max(self.before2[a, b], 1) + 0.3 * self.two[b, c] / max(self.before[b], 1) + 0.1 * (self.one[c] + 0.5) / (self.n + 0.5 * (len(self.one) + 1))
+            p = 0.6 * self.three.get((a, b, c), 0) / max(self.before2[a, b], 1) + 0.3 * self.two[b, c] / max(self.before[b], 1) + 0.1 * (self.one[c] + 0.5) / (self.n + 0.5 * (len(self.one) + 1))
             got = self.cache[a, b, c] = -math.log2(p)
         return got
 
-    def stretches(self, sequence: list[str]) -> list[tuple[int, int, float]]:
-        """(from, to, mean bits) of each stretch of ``STRETCH`` tokens; a short rest joins the stretch before it."""
-        if not sequence:
-            return []
-        padded = ["^", "^", *sequence]
-        bits = [self.cost(a, b, c) for a, b, c in zip(padded, padded[1:], sequence)]
-        cuts = list(range(0, len(bits), STRETCH))
-        if len(cuts) > 1 and len(bits) - cuts[-1] < STRETCH // 2:
-            cuts.pop()
-        return [(i, j, sum(bits[i:j]) / (j - i)) for i, j in zip(cuts, [*cuts[1:], len(bits)])]
+    def bits(self, stretches: list[str]) -> list[float]:
+        """Mean bits of the tokens of each stretch of a text, to a hundredth, so that equal ones are counted together."""
+        out = []
+        a = b = "^"
+        for stretch in stretches:
+            total, n = 0.0, 0
+            for c in stretch.split(" "):
+                if c != ITEM:
+                    total += self.cost(a, b, c)
+                    n += 1
+                a, b = b, c
+            out.append(round(total / max(n, 1), 2))
+        return out
+
+
+def trigrams_of(sequences: list[list[str]]) -> Counter:
+    """How often each trigram stands in the stretches of texts."""
+    out: Counter = Counter()
+    for stretches in sequences:
+        classes = " ".join(stretches).split(" ") if stretches else []
+        out.update(zip(["^", "^", *classes], ["^", *classes], classes))
+    return out
 
 
-class Prose:
-    """The fitted model."""
+_CLASSES: dict[frozenset[str], Classes] = {}
 
-    def __init__(self, texts: list[str], common: frozenset[str]) -> None:
-        classes, shares = Classes(common), Shares()
-        self.common = common
-        sequences = [classes(t.split()) for t in texts if self.is_prose(t, shares(t))]
-        # the marks of repetition are not learned: a repeated pair always surprises
-        self.model = Trigrams([[c.rstrip("+") for c in s] for s in sequences])
 
-    @classmethod
-    def is_prose(cls, text: str, shares: tuple[float, ...]) -> bool:
-        return sum(shares) < 0.02 and cls._sentences(text)
+def _sequences(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    classes = _CLASSES.setdefault(common, Classes(common))  # kept from task to task of a worker
+    for batch in slices(batches):
+        made = [classes(text) if text else (False, [], []) for text in batch.column("text").to_pylist()]
+        prose, stretches, sizes = zip(*made)
+        kinds = (pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip((prose, stretches, sizes), kinds))], names=["doc_id", "prose", "stretches", "sizes"])
 
-    @staticmethod
-    def _sentences(text: str) -> bool:
-        tokens = text.split()
-        ends = sum(t[-1] in ".!?…" for t in tokens)
-        return len(tokens) >= 20 and 4 <= len(tokens) / max(ends, 1) <= 25
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 5000):
+        found = trigrams_of(batch.column("stretches").to_pylist())
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in found], pa.string()) for i in range(3)), pa.array(list(found.values()), pa.int64())], names=["a", "b", "c", "n"])
 
-def fit_on(documents: DataFrame, common: frozenset[str]) -> Prose:
-    """A model of prose from at most ``SAMPLE_DOCUMENTS`` documents."""
-    sample = hashed_sample(documents.select("doc_id", "text"), ["doc_id"], SAMPLE_DOCUMENTS).where("length(text) between 200 and 20000")
-    return Prose([r["text"] for r in sample.select("text").collect()], common)
 
+def sequences(documents: DataFrame, common: frozenset[str]) -> DataFrame:
+    """Class sequences of every row of ``documents``, and whether it is prose: text without a signed token. Null, empty and blank texts have no stretch."""
+    return documents.select("doc_id", "text").mapInArrow(partial(_sequences, common), SEQUENCES)
 
-def _measure(prose):
+
+def fit(made: DataFrame) -> Trigrams:
+    """The model of all prose of ``sequences``; of its trigrams those at least as frequent as ``RAREST`` come to the driver."""
+    counted = stage(made.where("prose and size(stretches) > 0").select("stretches").mapInArrow(_counts, "a string, b string, c string, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    rows = counted.where(F.col("n") >= math.ceil(RAREST * total)).collect()
+    return Trigrams({(r["a"], r["b"], r["c"]): r["n"] for r in rows})
+
+
+def _measure(model):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Prose = prose.value
-        classes, shares = Classes(own.common), Shares()
+        own: Trigrams = model.value
         for batch in slices(batches):
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                tokens = (text or "").split()
-                if not tokens:
-                    out.append((doc_id, 0, [], [], None, False, 0.0, 0.0, 0.0, 0.0))
-                    continue
-                stretches = own.model.stretches(classes(tokens))
-                sizes = [sum(map(len, tokens[i:j])) for i, j, _ in stretches]
-                total = sum(sizes)
-                bits = sum(n * b for n, (_, _, b) in zip(sizes, stretches)) / total
-                found = shares(text)
-                out.append((doc_id, total, sizes, [b for *_, b in stretches], 2**bits, own.is_prose(text, found), *found))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.bool_(), *[pa.float64()] * 4)
-            cols = list(zip(*out)) or [[]] * 10
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in MEASURES.split(", ")])
+            bits = [own.bits(s) for s in batch.column("stretches").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "prose", "sizes")), pa.array(bits, pa.list_(pa.float64()))], names=["doc_id", "prose", "sizes", "bits"])
 
     return measure
 
@@ -300,29 +324,31 @@ def prose_bounds(measured: DataFrame) -> tuple[float, float] | None:
     return (ends[0], ends[-1]) if ends else None
 
 
-def scores(documents: DataFrame, prose: Prose) -> DataFrame:
-    """Perplexity, share of abnormal text and, for candidates, shares of spam of every row of ``documents``.
+def scores(made: DataFrame, model: Trigrams) -> DataFrame:
+    """Characters that print, perplexity and share of abnormal text of every row of ``sequences``.
 
-    Null, empty and blank texts have no perplexity and no shares; repeated rows stay repeated; other columns are not read.
-    Where no document is prose, or the model has seen none, all text is abnormal, so that every document is a candidate.
+    Null, empty and blank texts have no perplexity and nothing abnormal; repeated rows stay repeated; other columns are not read.
+    Where no document is prose, or the model has seen none, all text is abnormal.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(prose)
-    measured = stage(documents.select("doc_id", "text").mapInArrow(_measure(shared), MEASURES))
-    bounds = prose_bounds(measured) if prose.model.one else None
+    shared = made.sparkSession.sparkContext.broadcast(model)
+    measured = stage(made.mapInArrow(_measure(shared), "doc_id bigint, prose boolean, sizes array<bigint>, bits array<double>"))
+    bounds = prose_bounds(measured) if model.one else None
     low, high = bounds or (math.inf, -math.inf)
-    outside = F.aggregate(F.arrays_zip("sizes", "bits"), F.lit(0).cast("bigint"), lambda n, s: n + F.when((s["bits"] < low) | (s["bits"] > high), s["sizes"]).otherwise(0))
-    scored = measured.withColumn("abnormal", outside / F.greatest("chars", F.lit(1)))
-    return scored.select("doc_id", "chars", "abnormal", "perplexity", *(F.when(F.col("abnormal") >= CANDIDATE_SHARE, F.col(c)).otherwise(0.0).alias(c) for c in SHARES))
+    pairs = F.arrays_zip("sizes", "bits")
+    outside = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda n, s: n + F.when((s["bits"] < low) | (s["bits"] > high), s["sizes"]).otherwise(0))
+    chars = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda n, s: n + s)
+    bits = F.aggregate(pairs, F.lit(0.0), lambda n, s: n + s["bits"] * s["sizes"])
+    return measured.select("doc_id", chars.alias("chars"), F.try_divide(outside, F.greatest(chars, F.lit(1))).alias("abnormal"), F.pow(F.lit(2.0), F.try_divide(bits, chars)).alias("perplexity"))
 
 
 def stuffed(scored: DataFrame) -> DataFrame:
-    """``doc_id`` of the candidates of which more than half is spam."""
-    return scored.where(f"abnormal >= {CANDIDATE_SHARE} and links + tags + products + repeated > {SPAM_SHARE}").select("doc_id").distinct()
+    """``doc_id`` of the documents of which more than ``SPAM_SHARE`` is abnormal."""
+    return scored.where(F.col("abnormal") > SPAM_SHARE).select("doc_id").distinct()
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return scores(documents, fit_on(documents, common_keys(table(spark, sf_dir, "common_words"))))
+    made = stage(sequences(table(spark, sf_dir, "documents"), common_keys(table(spark, sf_dir, "common_words"))))
+    return scores(made, fit(made))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
