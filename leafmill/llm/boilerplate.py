@@ -4,60 +4,85 @@ Every line becomes a template in a token tree of fixed depth: project and number
 the wildcard slot, then the words outside it. The first level of slots takes half of the words, so
 a line with one misread word still meets its fellows in one of its two leaves. Leaves are counted
 with map-side aggregation and merged by their path; only templates in leaves on three or more
-pages are refined by slots of one word, where each is joined to the leaf's most frequent template.
+pages are refined by slots of one word and either end of that word, where each is joined to the slot's most frequent template.
+Templates joined directly or by way of others are one line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.pagelines import page_lines
 from leafmill.plans.staging import small, stage, table
 
 MIN_LETTERS, MIN_PAGES, MIN_SHARE = 15, 3, 0.2
-#: A misread word or digits can hide this many of a line's letters.
-_HIDDEN = 4
+#: Letters at either end of a word by which the templates of a slot are told apart, and of a line's only word.
+_ENDS, _LONE = 2, 6
+
+
+def _slots(words: Column) -> Column:
+    """(slot, word) of every place of a template: all other words and one end of the word in it; a lone word's slots are its ends."""
+    rest = lambda i: F.array_join(F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words))), " ")
+
+    def at(word: Column, i: Column) -> Column:
+        lone, n = F.size(words) == 1, F.length(word)
+        end = lambda k: F.array(F.concat(F.lit("^"), F.left(word, F.lit(k))), F.concat(F.right(word, F.lit(k)), F.lit("$")))
+        # words that a letter more or less takes over the bound have slots on both sides of it
+        short, none = F.when((n <= 2 * _ENDS + 1) & ~lone, end(1)), F.array().cast("array<string>")
+        ends = F.concat(F.coalesce(short, none), F.when(lone, end(_LONE)).when(n >= 2 * _ENDS, end(_ENDS)).otherwise(none))
+        return F.transform(ends, lambda e: F.struct(F.xxhash64(i, F.size(words), rest(i), e).alias("slot"), word.alias("word")))
+
+    return F.flatten(F.transform(words, at))
 
 
 def repeated_templates(lines: DataFrame, pages_of: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_letters: int = MIN_LETTERS) -> DataFrame:
     """(path) of the templates that stand on many pages of their project; a path names its project too.
 
     ``lines`` are rows of ``page_lines``; ``pages_of`` has ``project`` and its number of pages ``of``. Pages are counted
-    once however often a line or a page is repeated. Ties between templates of one leaf go to the smaller path.
+    once however often a line or a page is repeated. A line's letters are those of its longest form, so that misreadings hide none. Ties between templates of one slot go to the smaller path.
     """
-    long = lines.where((F.col("b") >= 0) & (F.col("letters") >= min_letters - _HIDDEN) & (F.col("tokens") > 0))
+    long = lines.where((F.col("b") >= 0) & (F.col("tokens") > 0))
+    both = F.explode(F.array("front", "back")).alias("leaf")
     leaves = (
-        long.select("pos", F.explode(F.array("front", "back")).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-        .where((F.col("n") >= min_pages) & (F.col("lo") < F.col("hi"))).select("leaf")
+        long.select("pos", "letters", both).groupBy("leaf").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("letters").alias("letters"))
+        .where((F.col("n") >= min_pages) & (F.col("lo") < F.col("hi")) & (F.col("letters") >= min_letters)).select("leaf")
     )
     leaves = small(leaves)
-    near = long.select("project", "pos", "path", "key", "letters", F.explode(F.array("front", "back")).alias("leaf")).join(leaves, "leaf", "left_semi")
+    near = long.select("project", "pos", "path", "key", "letters", both).join(leaves, "leaf", "left_semi")
     at = stage(near.groupBy("project", "path", "pos", "key").agg(F.max("letters").alias("letters")))
     keys = at.groupBy("project", "path", "key").agg(F.count("*").alias("pages"))
-    words = F.split("key", " ")
-    slots = keys.select("project", "path", "pages", F.posexplode(words).alias("i", "word"), words.alias("all")).select(
-        "project", "path", "pages", "word",
-        F.xxhash64("project", "i", F.size("all"), F.array_join(F.concat(F.slice("all", 1, F.col("i")), F.slice("all", F.col("i") + 2, F.size("all"))), " ")).alias("slot"),
-    )
+    slots = keys.select("project", "path", "pages", F.explode(_slots(F.split("key", " "))).alias("s")).select("project", "path", "pages", "s.word", "s.slot")
     top = F.max(F.struct("pages", (-F.col("path")).alias("less"), "path", "word"))
-    tops = slots.groupBy("slot").agg(top.alias("top"), F.count("*").alias("n")).where("n > 1").select("slot", F.col("top.path").alias("root"), F.col("top.pages").alias("root_pages"), F.col("top.word").alias("root_word"))
+    tops = slots.groupBy("project", "slot").agg(top.alias("top"), F.count("*").alias("n")).where("n > 1").select("project", "slot", F.col("top.path").alias("root"), F.col("top.pages").alias("root_pages"), F.col("top.word").alias("root_word"))
     apart = F.levenshtein("word", "root_word")
     longer = F.length("word") - F.length("root_word")  # a letter misread as a group of letters
-    links = (
-        slots.join(tops, "slot").where((F.col("path") != F.col("root")) & (apart <= F.when(longer == 2, 3).when((F.length("root_word") <= 3) & (longer != 1), 1).otherwise(2)))
-        .groupBy("project", "path").agg(F.max(F.struct("root_pages", "root")).getField("root").alias("root"))
-    )
-    links = stage(links)
-    second = links.select("project", F.col("path").alias("root"), F.col("root").alias("root2"))
-    roots = links.join(second, ["project", "root"], "left").select("project", "path", F.when(F.col("root2") != F.col("path"), F.col("root2")).otherwise(F.when(F.col("root2").isNotNull(), F.least("root", "path")).otherwise(F.col("root"))).alias("root"))
-    rooted = at.join(roots, ["project", "path"], "left").select("project", "path", "pos", "letters", F.coalesce("root", "path").alias("root"))
+    links = slots.join(tops, ["project", "slot"]).where((F.col("path") != F.col("root")) & (apart <= F.when(longer == 2, 3).when((F.length("root_word") <= 3) & (longer != 1), 1).otherwise(2))).select("path", "root").distinct()
+    roots = groups_of(stage(links))
+    rooted = at.join(roots, "path", "left").select("project", "path", "pos", "letters", F.coalesce("root", "path").alias("root"))
     groups = rooted.select("project", "root", "pos", "letters").groupBy("project", "root", "pos").agg(F.max("letters").alias("letters")).groupBy("project", "root").agg(F.count("*").alias("pages"), F.max("letters").alias("letters"))
     held = groups.join(pages_of, "project").where((F.col("pages") >= min_pages) & (F.col("pages") >= F.lit(min_share) * F.col("of")) & (F.col("letters") >= min_letters)).select("project", "root")
     return rooted.select("project", "path", "root").distinct().join(held, ["project", "root"], "left_semi").select("path")
 
 
+def groups_of(links: DataFrame) -> DataFrame:
+    """(path, root): every path of ``links`` (path, root) with the least path that it hangs together with, by however many links.
+
+    Each round gives a path the least label of its neighbours and then that label's own one, so that chains shrink by doubling; it ends when nothing changes.
+    """
+    both = stage(links.unionByName(links.select(F.col("root").alias("path"), F.col("path").alias("root"))).distinct())
+    labels = stage(both.groupBy("path").agg(F.least(F.min("root"), F.min("path")).alias("label")))
+    while True:
+        heard = both.join(labels.select(F.col("path").alias("root"), "label"), "root").groupBy("path").agg(F.min("label").alias("heard"))
+        closer = labels.join(heard, "path").select("path", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        jumped = closer.join(labels.select(F.col("path").alias("label"), F.col("label").alias("further")), "label", "left")
+        new = stage(jumped.select("path", "old", F.least("label", "further").alias("label")))
+        done = new.where("label <> old").isEmpty()
+        labels = new.drop("old")
+        if done:
+            return labels.withColumnRenamed("label", "root")
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.select("project", "pos").distinct().groupBy("project").agg(F.count("*").alias("of"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import glyphs
 from leafmill.llm.boilerplate import page_counts, repeated_templates
-from leafmill.llm.pagelines import Words, _hash, key_tokens, kind_of
+from leafmill.llm.pagelines import Words, key_tokens, kind_of, template_paths
 from leafmill.llm.ragged import rows, slices
 from leafmill.plans.staging import hashed_sample, small, stage, table
 
@@ -233,10 +233,9 @@ def _infer(model):
                 single = "\n" not in text.strip()
                 key, paths, tokens = "", (0, 0, 0), []
                 kinds = [k for line in text.split("\n") if line.strip() and (k := kind_of([words(t) for t in line.split()], at)) != "page"] if doubtful[p] else []
-                if single and block_letters[i] >= 10:
+                if single and block_letters[i]:
                     tokens = key_tokens([words(t) for t in text.split()], at)
-                    key, half, stem = " ".join(tokens), (len(tokens) + 1) // 2, f"{project} {len(tokens)} "
-                    paths = (_hash(stem + key), _hash(stem + "front " + " ".join(tokens[:half])), _hash(stem + "back " + " ".join(tokens[half:])))
+                    key, paths = " ".join(tokens), template_paths(project, tokens) if tokens else (0, 0, 0)
                 out.append((project, pos, b, kind, int(block_letters[i]), LANGUAGES[best[i]] if block_letters[i] else None, float(confidence[i]) if block_letters[i] else 0.0, single, kinds.count("junk"), len(kinds), key, len(tokens), *paths))
             kinds_ = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds_)], names=[c.split()[0] for c in BLOCKS.split(", ")])

@@ -42,11 +42,13 @@ _RUN = 4
 #: Bits of a field of the packed measures; a line of more characters than these hold is none.
 _F = 28
 _M = (1 << _F) - 1
-#: Lines of fewer letters get no template: they are far too short to count as repeated lines.
-_KEYED = 10
+#: More digits than the position of a page has, and more letters than a Roman numeral of a position below a million.
+_DIGITS, _NUMERAL = 19, 1015
+#: A line of one word meets its fellows by so many letters at either end.
+_ENDS = 6
 _HYPHENS = "-‐‑¬\u00ad"
-#: Between a hyphen and the other half of its word lie fewer lines than this that are repeated lines or page numbers.
-_REACH = 8
+#: Lines after a hyphen, and at a page's top, of which the first word is kept; pages with so many repeated lines or page numbers are read once more.
+REACH = 8
 _NOTHING = "\u200b\u200c\u200d\u2060\ufeff"
 _STOPS = frozenset(".!?…,;:-‐¬­")
 #: Small letters whose capitals have one shape, so that a key is the same in either case.
@@ -55,11 +57,9 @@ _CASELESS = str.maketrans({c.lower(): l.lower() for c, l in glyphs.TO_LATIN.item
 
 @lru_cache(4096)
 def roman(n: int) -> str:
-    """``n`` in small Roman numerals; beyond 399 none is expected in print and the result is ``?``."""
-    if n >= 400:
-        return "?"
+    """``n`` in small Roman numerals; thousands are written out, zero and less are ''."""
     out = ""
-    for value, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+    for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
         out += sign * (n // value)
         n %= value
     return out
@@ -68,7 +68,7 @@ def roman(n: int) -> str:
 def as_number(core: str) -> int | None:
     """The number that ``core`` shows in digits, also misread ones."""
     digits = "".join(c if c.isdecimal() and c.isascii() else DIGIT_FOR.get(c, "?") for c in core)
-    return int(digits) if 0 < len(digits) <= 6 and digits.isascii() and digits.isdecimal() else None
+    return int(digits) if 0 < len(digits) <= _DIGITS and digits.isascii() and digits.isdecimal() else None
 
 
 def shows_page(tokens: list[str], pos: int) -> bool:
@@ -90,8 +90,8 @@ def shows_page(tokens: list[str], pos: int) -> bool:
 
 def roman_core(core: str) -> str | None:
     """``core`` in small Roman numerals if it can be read so; 1 or | may stand for i, and letters of another script for theirs."""
-    got = core.lower().translate(_ROMAN_FOR) if len(core) <= 12 else ""
-    return got if got and not got.strip("ivxlc") else None
+    got = core.lower().translate(_ROMAN_FOR) if len(core) <= _NUMERAL else ""
+    return got if got and not got.strip("ivxlcdm") else None
 
 
 _ROMAN_FOR = str.maketrans({"1": "i", "|": "i", "!": "i", "ı": "i", "х": "x", "с": "c", "і": "i", "у": "v", "y": "v"})
@@ -138,8 +138,8 @@ class Words:
                 cell = bool(_CELL.match(form))
             if marks:
                 key = _LETTERS.sub("", key)
-            short = len(core) <= 3 or (len(core) <= 6 and not core.isalpha())
-            got = self.known[t] = (form, key, letters, cell, letters >= 3 and bool(_READABLE.match(form)) and pronounceable(form, key), symbols, core, len(form), as_number(core) if short else None, roman_core(core), key in self.common, 0)
+            short = len(core) <= 3 or not core.isalpha()
+            got = (form, key, letters, cell, letters >= 3 and bool(_READABLE.match(form)) and pronounceable(form, key), symbols, core, len(form), as_number(core) if short else None, roman_core(core), key in self.common, 0)
             blank = not form or form in "|¦"
             numeric = got[8] is not None or got[9] is not None or not core.isalpha()
             packed = letters | symbols << _F | len(form) << 2 * _F | cell << 3 * _F | got[4] << 4 * _F | (key in self.common) << 5 * _F | blank << 6 * _F | (letters >= 3) << 7 * _F | numeric << 8 * _F
@@ -220,6 +220,14 @@ def _hash(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
+def template_paths(project: str | None, tokens: list[str]) -> tuple[int, int, int]:
+    """Hashes of the template and of its two leaves: of either half of its words, or of either end of its one word."""
+    key, stem = " ".join(tokens), f"{project} {len(tokens)} "
+    half = (len(tokens) + 1) // 2
+    front, back = (key[:_ENDS], key[-_ENDS:]) if len(tokens) == 1 else (" ".join(tokens[:half]), " ".join(tokens[half:]))
+    return _hash(stem + key), _hash(stem + "front " + front), _hash(stem + "back " + back)
+
+
 def block_lines(texts: list[str | None]) -> list[tuple[int, str]]:
     """(block, line) of every printed line of a page's block texts that is not blank, in order."""
     return [(k, line) for k, text in enumerate(texts) for line in (text or "").split("\n") if line.strip()]
@@ -238,7 +246,7 @@ def block_texts() -> Column:
 _WORDS: dict[frozenset[str], Words] = {}
 
 
-def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(common: frozenset[str], reach: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _WORDS.setdefault(common, Words(common))  # kept from task to task of a worker
     known = words.known
     for batch in slices(batches):
@@ -259,7 +267,7 @@ def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterato
             sums = [_sums(seen) for seen in seens]
             kinds = [_kind(seen, c, at) for seen, c in zip(seens, sums)]
             phrases(kinds, [seen[0][6][:1] or "." for seen in seens], seens)
-            hyphened = -_REACH
+            hyphened = -reach
             for ln, (seen, c) in enumerate(zip(seens, sums)):
                 i = starts[ln]
                 tokens = key_tokens(seen, at)
@@ -267,15 +275,12 @@ def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterato
                 letters = c[0]
                 key = " ".join(tokens)
                 last = ts[i + len(seen) - 1]
-                if letters >= _KEYED and tokens:
-                    half = (len(tokens) + 1) // 2
-                    stem = f"{project} {len(tokens)} "
-                    paths = (_hash(stem + key), _hash(stem + "front " + " ".join(tokens[:half])), _hash(stem + "back " + " ".join(tokens[half:])))
-                else:
-                    key, paths, tokens = "", (0, 0, 0), ()
+                paths = template_paths(project, tokens) if letters and tokens else (0, 0, 0)
+                if not letters:
+                    key, tokens = "", ()
                 if not last or (last[-1] not in _HYPHENS and last.rstrip(_NOTHING)[-1:] not in _HYPHENS):
                     last = None
-                near = ln < _REACH or ln - hyphened < _REACH or last is not None
+                near = ln < reach or ln - hyphened <= reach or last is not None
                 if last is not None:
                     hyphened = ln
                 out.append((
@@ -285,15 +290,15 @@ def _lines(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)] if out else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
 
 
-def page_lines(pages: DataFrame, common_words: frozenset[str] = frozenset()) -> DataFrame:
+def page_lines(pages: DataFrame, common_words: frozenset[str] = frozenset(), reach: int = REACH) -> DataFrame:
     """One row per printed line: its place, its kind, its measures, its template key and the paths to its three leaves.
 
     ``common`` counts words whose key is among ``common_words``; ``last`` is the last word where it ends in a hyphen; ``edge``
-    marks these lines, the few after them and the first few of a page, which alone have ``first``, their first word. Where
+    marks these lines, the ``reach`` after them and the first ones of a page, which alone have ``first``, their first word. Where
     ``words`` is null or empty the lines of the block texts stand in, with ``b`` below 0 and ``w0`` -1; null texts
     count as ''; rows repeated in ``pages`` are repeated here; a page without any text gives no line.
     """
-    return pages.select("project", "pos", pages["words"]["t"].alias("t"), pages["words"]["b"].alias("b"), F.when(wordless(), block_texts()).alias("texts")).mapInArrow(partial(_lines, common_words), LINES)
+    return pages.select("project", "pos", pages["words"]["t"].alias("t"), pages["words"]["b"].alias("b"), F.when(wordless(), block_texts()).alias("texts")).mapInArrow(partial(_lines, common_words, reach), LINES)
 
 
 def common_keys(common_words: DataFrame) -> frozenset[str]:
