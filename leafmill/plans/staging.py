@@ -82,12 +82,20 @@ def range_partitions(staged: DataFrame, bytes_each: int) -> int:
     return max(min(few, 64), -(-staged_bytes(staged) // bytes_each))
 
 
+def staged_within(staged: DataFrame, limit: int = BROADCAST_BYTES, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table made by ``stage`` or ``small`` has at most ``limit`` bytes and ``rows`` rows; that of a few bytes has not more than these."""
+    size = staged_bytes(staged)
+    return size <= limit and (size <= 64_000 or staged.count() <= rows)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` staged; hinted for broadcast if its bytes are within ``limit`` and its count within ``rows``, else left to a shuffled join."""
+    """``df`` staged; hinted for broadcast if it is within ``limit`` bytes and ``rows`` rows, else left to a shuffled join."""
     staged = stage(df)
-    size = staged_bytes(staged)
-    # Parquet of fewer bytes than this holds no more rows than allowed only if rows take a byte each, so they are counted
-    return F.broadcast(staged) if size <= limit and (size <= 64_000 or staged.count() <= rows) else staged
+    if not staged_within(staged, limit, rows):
+        return staged
+    out = F.broadcast(staged)
+    out._leafmill_path = staged._leafmill_path
+    return out
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:
