@@ -12,18 +12,36 @@ from functools import cache
 # Cyrillic letters and the Latin letters of the same shape, position by position.
 CYRILLIC_LOOKALIKES = "аеорсухѕіјһԁԛԝАВЕКМНОРСТХУЅІЈԚԜ"
 LATIN_LOOKALIKES = "aeopcyxsijhdqwABEKMHOPCTXYSIJQW"
-# Greek capitals and omicron with a Latin shape.
-GREEK_LOOKALIKES = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο"
-GREEK_LATIN = "ABEZHIKMNOPTYXo"
+# Letters of other scripts and phonetic signs, and the Latin letters of the same shape.
+OTHER_LOOKALIKES = {
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονϲϳ", "ABEZHIKMNOPTYXCJovcj"),
+    "Cyrillic": ("ӀӏҮүԍᴦ", "IlYyGr"),
+    "Latin": ("ɑɡᴄᴏᴠᴡᴢꜱ", "agcovwzs"),
+    "Armenian": ("ՕօսհոԼ", "OouhnL"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃ", "ABCDEGHJKLMPRSTVWZ"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+}
 # Signs set as an apostrophe.
 APOSTROPHES = "'‘’‛`´ʼʻʽˈʹ′＇｀"
 TURNED_COMMA, TUTUQ = "ʻ", "ʼ"
 
-TO_LATIN = dict(zip(CYRILLIC_LOOKALIKES + GREEK_LOOKALIKES, LATIN_LOOKALIKES + GREEK_LATIN))
+TO_LATIN = dict(zip(CYRILLIC_LOOKALIKES, LATIN_LOOKALIKES)) | {a: b for other, latin in OTHER_LOOKALIKES.values() for a, b in zip(other, latin)}
 TO_CYRILLIC = dict(zip(LATIN_LOOKALIKES, CYRILLIC_LOOKALIKES))
 
-_LIMIT = 0x30000
+#: The planes that hold letters, the supplement of ideographs, and the tags and selectors; the rest of the code space has no mapping.
+_ASSIGNED = (range(0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE0200))
 _HANGUL = range(0xAC00, 0xD7A4)
+_SURROGATES = range(0xD800, 0xE000)
+# Signs that print nothing besides format characters and variation selectors; signs that print a blank.
+_NOTHING = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
+_BLANKS = "\t\n\r\x0b\x0c\x85\u2800"
+
+
+def _code_points():
+    for block in _ASSIGNED:
+        for cp in block:
+            if cp not in _SURROGATES:
+                yield cp
 
 
 @cache
@@ -32,11 +50,11 @@ def _parts(ch: str) -> str | None:
     kind = unicodedata.category(ch)
     if ch in APOSTROPHES:
         return TUTUQ
-    if kind == "Cf" or 0xFE00 <= ord(ch) <= 0xFE0F or ch == "͏":
+    if kind == "Cf" or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0000 <= ord(ch) < 0xE0200 or ch in _NOTHING:
         return ""
-    if kind in ("Zs", "Zl", "Zp") or ch in "\t\n\r\x0b\x0c\x85":
+    if kind in ("Zs", "Zl", "Zp") or ch in _BLANKS:
         return " "
-    if not unicodedata.decomposition(ch) or ord(ch) in _HANGUL or ch == "№":
+    if not unicodedata.decomposition(ch) or ch == "№":
         return None
     out = unicodedata.normalize("NFKD", ch)
     return None if out[0] == " " and len(out) > 1 else out
@@ -44,12 +62,10 @@ def _parts(ch: str) -> str | None:
 
 @cache
 def decompositions() -> tuple[tuple[str, str], ...]:
-    """(character, parts) of every code point that does not stay as it is; bounded by Unicode."""
+    """(character, parts) of every code point that does not stay as it is; bounded by Unicode. Syllables of Hangul stay: they are what their letters compose to."""
     found = []
-    for cp in range(_LIMIT):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        parts = _parts(chr(cp))
+    for cp in _code_points():
+        parts = None if cp in _HANGUL else _parts(chr(cp))
         if parts is not None and parts != chr(cp):
             found.append((chr(cp), parts))
     return tuple(found)
@@ -57,23 +73,20 @@ def decompositions() -> tuple[tuple[str, str], ...]:
 
 @cache
 def combining_classes() -> dict[str, int]:
-    return {chr(c): k for c in range(_LIMIT) if (k := unicodedata.combining(chr(c)))}
+    return {chr(c): k for c in _code_points() if (k := unicodedata.combining(chr(c)))}
 
 
 @cache
-def compositions() -> tuple[tuple[str, str], ...]:
-    """(base and marks in order, composed character) for every character with a canonical decomposition."""
-    found = []
-    for cp in range(_LIMIT):
-        if 0xD800 <= cp <= 0xDFFF or cp in _HANGUL:
-            continue
-        ch = chr(cp)
-        d = unicodedata.decomposition(ch)
+def compositions() -> dict[str, str]:
+    """A starter and the one mark after it as one character, by their pair, for every such pair that composes; bounded by Unicode."""
+    found = {}
+    for cp in _code_points():
+        d = unicodedata.decomposition(chr(cp)) if cp not in _HANGUL else ""
         if d and not d.startswith("<"):
-            parts = unicodedata.normalize("NFD", ch)
-            if len(parts) > 1 and unicodedata.normalize("NFC", parts) == ch:
-                found.append((parts, ch))
-    return tuple(found)
+            pair = "".join(chr(int(x, 16)) for x in d.split())
+            if len(pair) == 2 and unicodedata.normalize("NFC", pair) == chr(cp):
+                found[pair] = chr(cp)
+    return found
 
 
 def plain(s: str) -> str:
