@@ -18,27 +18,34 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm.ragged import slices
 from leafmill.plans.staging import table
 
-#: Where the vocabularies of the public tokenizers lie.
+#: Where the vocabularies of the public tokenizers lie for the driver.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts text into words before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _KEPT = 400_000
-_LOADED: dict[str, dict[bytes, int]] = {}
+_SHARED: dict[tuple[str, str], Broadcast] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes and their ids, which are their merge ranks; read once per worker."""
-    if path not in _LOADED:
-        with open(path, "rb") as f:
-            _LOADED[path] = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return _LOADED[path]
+    """Token bytes and their ids, which are their merge ranks."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+def shared_ranks(spark: SparkSession, tokenizers: str, vocabulary: str) -> Broadcast:
+    """The ranks of a vocabulary that the driver reads, sent to the executors once; some 50,000 entries."""
+    key = (spark.sparkContext.applicationId, f"{tokenizers}/{vocabulary}")
+    if key not in _SHARED:
+        _SHARED[key] = spark.sparkContext.broadcast(load_ranks(key[1]))
+    return _SHARED[key]
 
 
 def replay(words: list[str], ranks: dict[bytes, int]) -> list[list[int]]:
@@ -109,8 +116,8 @@ def replay(words: list[str], ranks: dict[bytes, int]) -> list[list[int]]:
 class Encoder:
     """Encodes texts of one task, keeping the ids of words it has met; bounded."""
 
-    def __init__(self, path: str) -> None:
-        self.ranks = load_ranks(path)
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
         self.cut = regex.compile(PATTERN).findall
         self.known: dict[str, list[int]] = {}
 
@@ -138,8 +145,8 @@ class Encoder:
         return [(bag, sum(n * len(self.known[w]) for w, n in bag.items())) for bag in bags]
 
 
-def _encode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+def _encode(ranks: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder(ranks.value)
     for batch in slices(batches):
         texts = batch.column("text").to_pylist()
         ids: list[int] = []
@@ -152,8 +159,8 @@ def _encode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["doc_id", "ids"])
 
 
-def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+def _count(ranks: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder(ranks.value)
     for batch in slices(batches):
         n = [sum(map(len, words)) for words in encoder(batch.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "tokens"])
@@ -165,12 +172,12 @@ def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str =
     Whole texts are encoded, without special tokens; the strings of special tokens are ordinary text. Repeated rows stay
     repeated; other columns are not read. A vocabulary that lacks a single byte is refused.
     """
-    return documents.select("doc_id", "text").mapInArrow(partial(_encode, f"{tokenizers}/{vocabulary}"), "doc_id bigint, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(partial(_encode, shared_ranks(documents.sparkSession, tokenizers, vocabulary)), "doc_id bigint, ids array<int>")
 
 
 def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``text`` and the number of its ``tokens``; null and empty texts have none."""
-    return documents.select("doc_id", "text").mapInArrow(partial(_count, f"{tokenizers}/{vocabulary}"), "doc_id bigint, text string, tokens bigint")
+    return documents.select("doc_id", "text").mapInArrow(partial(_count, shared_ranks(documents.sparkSession, tokenizers, vocabulary)), "doc_id bigint, text string, tokens bigint")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,10 @@ PENALTY = 2.0
 MIN_BLOCK_LETTERS = 60
 #: Mean log likelihood of a trigram below which a page's lines are examined for junk.
 DOUBTFUL = -5.0
+#: Characters of a page of the sample.
+SAMPLE_CHARS = (100, 20_000)
+#: Type of what stands in for the blocks of a page that has only words.
+WORDS = "WORDS"
 _LIMIT = 400_000
 
 BLOCKS = "project string, pos int, b int, type string, letters int, lang string, confidence double, single boolean, junk int, lines int, key string, tokens int, path long, front long, back long"
@@ -137,7 +141,7 @@ def fit_on(pages: DataFrame, seeds: list[tuple[str, str]] = ()) -> Trigrams:
     """Models from at most ``SAMPLE_PAGES`` labelled pages, and ``seeds``."""
     label = named_language(F.col("language"))
     sample = hashed_sample(pages.select("project", "pos", "language", "blocks"), ["project", "pos"], SAMPLE_PAGES)
-    texts = sample.select(label.alias("label"), F.array_join(_texts(F.col("blocks")), " ").alias("text")).where("label is not null and length(text) > 100")
+    texts = sample.select(label.alias("label"), F.array_join(_texts(F.col("blocks")), " ").alias("text")).where(F.col("label").isNotNull() & F.length("text").between(*SAMPLE_CHARS))
     return fit([(r["label"], r["text"]) for r in texts.collect()], seeds)
 
 
@@ -246,10 +250,13 @@ def _infer(model):
 def block_languages(pages: DataFrame, model: Trigrams) -> DataFrame:
     """One row per block of ``pages``: language, confidence, letters; null texts count as ''; blocks without letters get a null language.
 
-    A block of one line also gets its template paths, so that repeated lines can be told; on pages that no model likes its lines and its junk lines are counted.
+    The words of a page whose blocks hold no text stand in as one block of type ``WORDS``. A block of one line also gets its template paths, so that repeated lines can be told; on pages that no model likes its lines and its junk lines are counted.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    return pages.select("project", "pos", _texts(F.col("blocks")).alias("texts"), F.col("blocks")["type"].alias("types")).mapInArrow(_infer(shared), BLOCKS)
+    texts = F.coalesce(_texts(F.col("blocks")), F.array().cast("array<string>"))
+    bare = ~F.exists(texts, lambda t: F.trim(t) != "") & (F.size("words") > 0)
+    words = F.array_join(F.transform("words", lambda w: F.coalesce(w["t"], F.lit(""))), " ")
+    return pages.select("project", "pos", F.when(bare, F.array(words)).otherwise(texts).alias("texts"), F.when(bare, F.array(F.lit(WORDS))).otherwise(F.col("blocks")["type"]).alias("types")).mapInArrow(_infer(shared), BLOCKS)
 
 
 class Languages:
@@ -303,4 +310,4 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(-1)
     books = run.books().select("project", none.alias("pos"), none.alias("block_idx"), "lang", "confidence")
     pages = run.page_rows.select("project", "pos", none.alias("block_idx"), "lang", "confidence")
-    return books.unionByName(pages).unionByName(run.blocks.where("lang is not null").select("project", "pos", "block_idx", "lang", "confidence"))
+    return books.unionByName(pages).unionByName(run.blocks.where(f"lang is not null and coalesce(type, '') <> '{WORDS}'").select("project", "pos", "block_idx", "lang", "confidence"))

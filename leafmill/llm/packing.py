@@ -19,10 +19,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.bpe import TOKENIZERS, VOCABULARY, Encoder
+from leafmill.llm.bpe import TOKENIZERS, VOCABULARY, Encoder, shared_ranks
 from leafmill.plans.staging import stage, table
 
 #: Documents and characters of a shard; what is beyond goes into the next shard of the same task.
@@ -30,8 +31,8 @@ SHARD_DOCUMENTS, SHARD_CHARS = 4000, 12_000_000
 #: Tokens of the rests that are packed together.
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
-#: Documents of a short neighbour list; containers are filled from the whole one.
-NEIGHBOURS = 24
+#: A term is dense if more than one document in so many has it.
+DENSE = 32
 #: Containers filled less than this are opened again and packed with those of other shards.
 WELL_FILLED = 0.97
 
@@ -40,7 +41,11 @@ _ARROW = pa.schema([("container", pa.string()), ("capacity", pa.int32()), ("bin"
 
 
 class Index:
-    """BM25 over the documents of one shard; terms are the words that the tokenizer's pattern cuts."""
+    """BM25 over the documents of one shard; terms are the words that the tokenizer's pattern cuts.
+
+    Terms of many documents are columns of one dense matrix, so that their part of all scores is a product of matrices; the
+    others have postings. A query is the set of a document's terms.
+    """
 
     def __init__(self, bags: list[Counter]) -> None:
         lengths = np.array([sum(b.values()) for b in bags], float)
@@ -59,25 +64,28 @@ class Index:
         self.bags = bags
         self.idf = {t: math.log(1 + (n_docs - len(p) + 0.5) / (len(p) + 0.5)) for t, p in where.items()}
         self.postings = {}
+        dense = [t for t, p in where.items() if len(p) > max(n_docs // DENSE, 8)]
+        weights, asked = (np.zeros((len(dense), n_docs), np.float32) for _ in range(2))
         for term, docs in where.items():
             if len(docs) > 1:  # a term of one document leads nowhere
                 at, n = np.array(docs), np.array(often[term], float)
                 self.postings[term] = (at, self.idf[term] * n * (K1 + 1) / (n + norm[at]))
+        for k, term in enumerate(dense):
+            at, weight = self.postings.pop(term)
+            weights[k, at], asked[k, at] = weight, 1.0
+        # by seed: what the dense terms give to every document
+        self.dense = asked.T @ weights
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """All ``unused`` documents that share a term with ``seed``, by falling score under all of its terms; ties by place."""
         found = [self.postings[t] for t in self.bags[seed] if t in self.postings]
-        if not found:
-            return np.array([], int)
-        score = np.bincount(np.concatenate([at for at, _ in found]), np.concatenate([weight for _, weight in found]), len(self.bags))
+        score = self.dense[seed].astype(float)
+        if found:
+            score += np.bincount(np.concatenate([at for at, _ in found]), np.concatenate([weight for _, weight in found]), len(self.bags))
         near = np.flatnonzero(unused & (score > 0))
         near = near[near != seed]
         return near[np.argsort(-score[near], kind="stable")]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """The first of ``ranked``."""
-        return self.ranked(seed, unused)[:NEIGHBOURS].tolist()
-
 
 def pack(sizes: list[int], capacity: int, neighbours) -> list[list[int]]:
     """Containers of items: each holds at most ``capacity``; every item of 1 to ``capacity`` tokens is in exactly one."""
@@ -134,8 +142,8 @@ def _rows(capacities: list[tuple[str, int]], name: str, docs: list[tuple[int, in
     return out
 
 
-def _shards(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[int, int]], Index]]:
-    encoder = Encoder(path)
+def _shards(ranks: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[int, int]], Index]]:
+    encoder = Encoder(ranks.value)
     part, count = TaskContext.get().partitionId(), itertools.count().__next__
     docs: list[tuple[int, int]] = []
     bags: list[Counter] = []
@@ -159,20 +167,20 @@ def _shards(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str,
         yield done()
 
 
-def _pack(path: str, capacities: list[tuple[str, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for name, docs, index in _shards(path, batches):
+def _pack(ranks: Broadcast, capacities: list[tuple[str, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for name, docs, index in _shards(ranks, batches):
         out = _rows(capacities, name, docs, index.ranked)
         if not out:
             continue
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 
 
-def _repack(path: str):
+def _repack(ranks: Broadcast):
     def repack(group: pa.Table) -> pa.Table:
         """Pack the items of poorly filled containers with an index of their texts; the group is bounded by its salt."""
         items = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_id", "part", "tokens", "text"))), key=lambda x: x[:3])
         container, capacity, salt = (group.column(c)[0].as_py() for c in ("container", "capacity", "salt"))
-        index = Index([bag for bag, _ in Encoder(path).cut_and_count([text for *_, text in items])])
+        index = Index([bag for bag, _ in Encoder(ranks.value).cut_and_count([text for *_, text in items])])
         out = []
         for k, content in enumerate(pack([x[2] for x in items], capacity, index.ranked)):
             out += [(container, capacity, f"r{salt}-{k}", place, *items[i][:3]) for place, i in enumerate(content)]
@@ -191,7 +199,8 @@ def fill(documents: DataFrame, containers: DataFrame, tokenizers: str = TOKENIZE
     kinds = [(r["container"], r["capacity"]) for r in containers.where("capacity > 0").select("container", "capacity").distinct().orderBy("capacity", "container").limit(1001).collect()]
     if len(kinds) > 1000:
         raise ValueError("containers is meant to be a short list")
-    packed = stage(documents.select("doc_id", "text").mapInArrow(partial(_pack, f"{tokenizers}/{vocabulary}", kinds), ITEMS))
+    ranks = shared_ranks(documents.sparkSession, tokenizers, vocabulary)
+    packed = stage(documents.select("doc_id", "text").mapInArrow(partial(_pack, ranks, kinds), ITEMS))
     bins = packed.where("tokens > 0").groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("filled"), F.count("*").alias("pieces"))
     poor = bins.where(F.col("filled") < WELL_FILLED * F.col("capacity"))
     n = poor.groupBy("container", "capacity").agg(F.sum("pieces").alias("n"), F.sum("filled").alias("tokens"))
@@ -202,7 +211,7 @@ def fill(documents: DataFrame, containers: DataFrame, tokenizers: str = TOKENIZE
     key = ["container", "capacity", "bin"]
     again = packed.join(poor.select(*key), key, "left_semi").withColumn("salt", salt_of).select("container", "capacity", "salt", "doc_id", "part", "tokens")
     again = again.join(documents.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id", "left")
-    return packed.join(poor.select(*key), key, "left_anti").unionByName(again.groupBy("container", "capacity", "salt").applyInArrow(_repack(f"{tokenizers}/{vocabulary}"), ITEMS))
+    return packed.join(poor.select(*key), key, "left_anti").unionByName(again.groupBy("container", "capacity", "salt").applyInArrow(_repack(ranks), ITEMS))
 
 
 def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

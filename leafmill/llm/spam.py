@@ -318,7 +318,8 @@ def _measure(model):
 def prose_bounds(measured: DataFrame) -> tuple[float, float] | None:
     """The bits between which the stretches of all prose documents lie but for ``TAIL`` at either end, as exact quantiles; none without prose."""
     values = measured.where("prose").select(F.lit("prose").alias("grp"), F.lit("bits").alias("stat"), F.explode("bits").alias("value"))
-    at = [F.floor(F.lit(share) * (F.col("n") - 1)) for share in (TAIL, 1 - TAIL)]
+    # outwards, so that of few stretches none is abnormal
+    at = [F.floor(F.lit(TAIL) * (F.col("n") - 1)), F.ceil(F.lit(1 - TAIL) * (F.col("n") - 1))]
     holds = [(F.col("below") <= k) & (k < F.col("upto")) for k in at]
     ends = sorted(r["value"] for r in exact_ranks(values).where(holds[0] | holds[1]).select("value").collect())
     return (ends[0], ends[-1]) if ends else None

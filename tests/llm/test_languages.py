@@ -69,6 +69,13 @@ def test_books_pages_blocks(spark):
     assert [(r.project, r.pos, r.block_idx, r.lang) for r in run.foreign_blocks().collect()] == [("p", 6, 2, "rus")]
 
 
+def test_pages_of_words_alone(spark):
+    books = spark.createDataFrame([], "id string, updated_at bigint, language string, detected_language string")
+    bare_ = page("p", 50, TEXTS["rus"], TEXTS["rus"], language=None, blocks=[])
+    run = Languages(frame(spark, *pages(), bare_), books)
+    assert [(r.lang, r.declared) for r in run.page_rows.where("project = 'p' and pos = 50").collect()] == [("rus", None)]
+
+
 def test_broken_input(spark):
     books = spark.createDataFrame([], "id string, updated_at bigint, language string, detected_language string")
     rows = [("p", 0, None, None, None, "x"), ("p", 1, None, [("PARAGRAPH", None), (None, [(None,)])], None, "x"), ("p", 2, None, [("PARAGRAPH", [("сло " * 30_000,)])], None, "x")]

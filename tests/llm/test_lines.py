@@ -32,7 +32,8 @@ def test_page_numbers(line, pos, expected):
 
 
 def test_numerals():
-    assert [roman(n) for n in (1, 4, 9, 14, 40, 399)] == ["i", "iv", "ix", "xiv", "xl", "cccxcix"] and roman(400) == "?"
+    assert [roman(n) for n in (1, 4, 9, 14, 40, 399)] == ["i", "iv", "ix", "xiv", "xl", "cccxcix"] and [roman(n) for n in (401, 412, 944, 1999)] == ["cdi", "cdxii", "cmxliv", "mcmxcix"] and roman(0) == ""
+    assert as_number("1234567") == 1234567 and shows_page(["CDXII"], 411) and shows_page(["1234568"], 1234567)
     assert as_number("I0") == 10 and as_number("ab") is None and as_number("") is None
 
 
@@ -73,6 +74,24 @@ def test_repeated_rows_count_once(spark):
     assert found(spark, frame(spark, row, row, row, *others)) == []
 
 
+def test_lines_hang_together_by_any_number_of_links(spark):
+    words = "kitob yangi bogʻimiz zalida oʻqildi".split()
+    changed = [words, ["kitoh", *words[1:]], ["kitoh", "yangl", *words[2:]], ["kitoh", "yangl", "bogʻlmiz", *words[3:]], ["kitoh", "yangl", "bogʻlmiz", "zaliba", words[4]]]
+    rows = [page("p", i, " ".join(c), f"{'xyzuvw'[i] * 9} {'klmnop'[i] * 7} bilan") for i, c in enumerate(changed)]
+    assert [x[1] for x in found(spark, frame(spark, *rows)) if x[2] == 100][:4] == [0, 1, 2, 3]
+
+
+def test_lines_of_one_word_and_of_hidden_letters(spark):
+    rows = [page("p", i, "Elektronkutubxonamiz" if i else "E1ektronkutubxonamiz", f"{'12 3 4 5 6 7 yangi kitob' if i == 2 else 'Bizning yangi kitob'} {i}", f"{'xyzuvw'[i] * 9} {'klmnop'[i] * 7}") for i in range(4)]
+    assert {x[1] for x in found(spark, frame(spark, *rows)) if x[2] == 100} == {0, 1, 2, 3}
+
+
+def test_two_true_lines_in_one_slot(spark):
+    heads = ["Kitob mevaimiz oquv zalida"] * 5 + ["Kitob chuqurlik oquv zalida"] * 4 + ["Kitob chuqurlrik oquv zalida"]
+    rows = [page("p", i, h, f"{'abcdefghij'[i] * 9} {'klmnopqrst'[i] * 7}") for i, h in enumerate(heads)]
+    assert [x[1] for x in found(spark, frame(spark, *rows)) if x[2] == 100] == list(range(10))
+
+
 def test_share_of_pages(spark):
     rows = [page("p", i, "The same line of many letters" if i < 3 else f"different {'abcdefghijklmnopqrst'[i] * 9} {'bcdefghijklmnopqrstu'[i] * 8}") for i in range(16)]
     assert found(spark, frame(spark, *rows)) == []
@@ -132,6 +151,18 @@ def test_page_kinds(spark):
     assert outlier_scores(stats.withColumn("grp", stats["project"])).count() == 0
 
 
+def test_scores_decide(spark):
+    rng = random.Random(3)
+    words = "katta kichik daryo kitob bogʻda uzun keldi suvlar qaytdi yangi eski qalin sokin bilan uchun".split()
+    rows = [page("p", i, *[f"{' '.join(rng.choices(words, k=8))}." for _ in range(8)]) for i in range(20)] + [page("p", 20, *[f"{i}. {' '.join(rng.choices(words, k=3))}" for i in range(1, 9)])]
+    pages = frame(spark, *rows)
+    scored = scored_pages(page_labels(pages), page_lines(pages), spark.createDataFrame([], "path bigint"))
+    assert page_kinds(scored).count() == 1
+    # shares alone find nothing: a constant score is below every bound, and a greater one above that of the kind that stands in the language
+    assert page_kinds(scored.withColumn("list_score", scored["list_score"] * 0)).count() == 0
+    assert page_kinds(scored.withColumn("list_score", scored["list_score"] * 0 + 99)).count() == 21
+
+
 def test_page_kinds_where_the_kind_is_common(spark):
     # most pages of one language are lists, and a label stands on one page alone
     pages = frame(spark, *[page("p", i, *[f"{k}. Katta kitob" for k in range(1, 8)]) for i in range(5)], page("p", 5, *PROSE), page("p", 6, *[f"{k}. Книга" for k in range(1, 8)], language="rus"))

@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -32,6 +33,19 @@ def test_marks_are_ordered_and_composed(spark):
     assert got["ö"][0] == "ö" and got["q̈"][0] == "q̈" and got["й"][1] == got["й"][1]
 
 
+def test_composition_is_that_of_unicode(spark):
+    rng = random.Random(1)
+    marks = [chr(c) for c in range(0x300, 0x345) if unicodedata.combining(chr(c))]
+    texts = ["".join(rng.choice("abuzwkAU") + "".join(rng.choices(marks, k=rng.randint(0, 4))) for _ in range(3)) for _ in range(300)] + ["\u1112\u1161\u11ab\u1100\u1173", "한글", "\u1112x\u1161", "\U0002f81a"]
+    got = forms(spark, *texts)
+    assert [t for t in got if got[t][1] != unicodedata.normalize("NFKC", t)] == []
+
+
+def test_whole_code_space(spark):
+    got = forms(spark, "a\U000e0101b\U000e0041", "x\u2800y", "ka\u180bt\u115f", "\u0251\u04cf")
+    assert [v[1] for v in got.values()] and got["a\U000e0101b\U000e0041"][1] == "ab" and got["x\u2800y"][1] == "x y" and got["ka\u180bt\u115f"][1] == "kat" and got["\u0251\u04cf"][1] == "al"
+
+
 def test_apostrophes_blanks_ligatures(spark):
     got = forms(spark, "o'g`on", "oʻgʻon", "a b", "a b", "ﬁn", "she'r", "sheʼr", "№")
     assert got["o'g`on"][0] == got["oʻgʻon"][0] == "oʻgʻon" and got["a b"][0] == "a b" and got["ﬁn"][0] == "fin"

@@ -1,13 +1,15 @@
 import random
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafmill.llm.bpe import TOKENIZERS, VOCABULARY, Encoder, encode
+from leafmill.llm.bpe import TOKENIZERS, VOCABULARY, Encoder, encode, load_ranks
 from leafmill.llm.packing import Index, fill, pack
 
 tokenizers = pytest.importorskip("tokenizers")
+RANKS = load_ranks(f"{TOKENIZERS}/{VOCABULARY}")
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def encoder():
-    e = Encoder(f"{TOKENIZERS}/{VOCABULARY}")
+    e = Encoder(RANKS)
     return lambda s: [i for w in e([s])[0] for i in w]
 
 
@@ -34,7 +36,7 @@ def test_odd_texts(text, reference, encoder):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
-    e = Encoder(f"{TOKENIZERS}/{VOCABULARY}")
+    e = Encoder(RANKS)
     t = tokenizers.Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json") if not hasattr(test_any_text, "t") else test_any_text.t
     t.encode_special_tokens = True
     test_any_text.t = t
@@ -72,11 +74,11 @@ def test_neighbours_against_brute_force():
     idf = {t: math.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
     unused = np.array([i % 3 != 0 for i in range(n)])
     for seed in range(0, n, 7):
-        terms = sorted((t for t in bags[seed] if df[t] > 1), key=lambda t: (idf[t], t), reverse=True)[:12]
+        terms = [t for t in bags[seed] if df[t] > 1]
         score = {d: sum(idf[t] * bags[d][t] * 2.2 / (bags[d][t] + 1.2 * (0.25 + 0.75 * sum(bags[d].values()) / mean)) for t in terms if t in bags[d]) for d in range(n) if d != seed and unused[d]}
-        expected = [d for d, s in sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0])) if s > 0][:24]
-        got = index.neighbours(seed, unused)
-        assert set(got) <= set(score) and [round(score[d], 6) for d in got] == [round(score[d], 6) for d in expected]
+        expected = [d for d, s in sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0])) if s > 0]
+        got = index.ranked(seed, unused)
+        assert set(got) <= set(score) and np.allclose([score[d] for d in got], [score[d] for d in expected], atol=1e-5)
 
 
 def test_seed_reaches_every_neighbour_that_fits():
@@ -95,10 +97,27 @@ def test_rests_are_packed_with_an_index():
 
     texts = ["river stone garden", "house cat tree", "river stone boat", "sun moon star"]
     group = pa.table({"container": ["s"] * 4, "capacity": pa.array([100] * 4, pa.int32()), "salt": [0] * 4, "doc_id": [1, 2, 3, 4], "part": pa.array([0] * 4, pa.int32()), "tokens": [60, 40, 30, 38], "text": texts})
-    rows = _repack(f"{TOKENIZERS}/{VOCABULARY}")(group).to_pylist()
+    rows = _repack(SimpleNamespace(value=RANKS))(group).to_pylist()
     assert {r["doc_id"] for r in rows if r["bin"] == "r0-0"} == {1, 3}
 
 
+def test_bins_hold_what_is_alike():
+    from collections import Counter
+
+    rng = random.Random(13)
+    topics = [[f"t{k}w{i}" for i in range(30)] for k in range(12)]
+    of = [rng.randrange(12) for _ in range(600)]
+    bags = [Counter(rng.choices(topics[k], k=20) + rng.choices(["and", "of", "the"], k=10)) for k in of]
+    sizes = [rng.randint(20, 60) for _ in bags]
+
+    def alike(bins):
+        pairs = [(of[a], of[b]) for content in bins for a, b in zip(content, content[1:])]
+        return sum(a == b for a, b in pairs) / len(pairs)
+
+    by_index, by_size = pack(sizes, 400, Index(bags).ranked), pack(sizes, 400, lambda seed, fits: ())
+    assert alike(by_index) > 0.6 > 0.3 > alike(by_size)
+
+
 def test_fill(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choices(["river", "stone", "garden", "кит", "уй"], k=rng.randint(1, 90))) for _ in range(200)] + [None, "", "long " * 700, "dup", "dup"]
