@@ -21,8 +21,11 @@ MIN_LETTERS, MIN_PAGES, MIN_SHARE = 15, 3, 0.2
 _ENDS, _LONE = 2, 6
 
 
-def _slots(words: Column) -> Column:
-    """(slot, word) of every place of a template: all other words and one end of the word in it; a lone word's slots are its ends."""
+def _slots(words: Column, sides: Column) -> Column:
+    """(slot, word) of the places of a template: all other words and one end of the word in it; a lone word's slots are its ends.
+
+    ``sides`` has bit 1 if the first half of the template is shared, and bit 2 if the second is; a misread word is in the other half.
+    """
     rest = lambda i: F.array_join(F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words))), " ")
 
     def at(word: Column, i: Column) -> Column:
@@ -31,7 +34,8 @@ def _slots(words: Column) -> Column:
         # words that a letter more or less takes over the bound have slots on both sides of it
         short, none = F.when((n <= 2 * _ENDS + 1) & ~lone, end(1)), F.array().cast("array<string>")
         ends = F.concat(F.coalesce(short, none), F.when(lone, end(_LONE)).when(n >= 2 * _ENDS, end(_ENDS)).otherwise(none))
-        return F.transform(ends, lambda e: F.struct(F.xxhash64(i, F.size(words), rest(i), e).alias("slot"), word.alias("word")))
+        wanted = lone | (sides.bitwiseAND(F.when(2 * i < F.size(words), 2).otherwise(1)) != 0)
+        return F.transform(F.when(wanted, ends).otherwise(none), lambda e: F.struct(F.xxhash64(i, F.size(words), rest(i), e).alias("slot"), word.alias("word")))
 
     return F.flatten(F.transform(words, at))
 
@@ -49,10 +53,11 @@ def repeated_templates(lines: DataFrame, pages_of: DataFrame, min_pages: int = M
         .where((F.col("n") >= min_pages) & (F.col("lo") < F.col("hi")) & (F.col("letters") >= min_letters)).select("leaf")
     )
     leaves = small(leaves)
-    near = long.select("project", "pos", "path", "key", "letters", both).join(leaves, "leaf", "left_semi")
-    at = stage(near.groupBy("project", "path", "pos", "key").agg(F.max("letters").alias("letters")))
-    keys = at.groupBy("project", "path", "key").agg(F.count("*").alias("pages"))
-    slots = keys.select("project", "path", "pages", F.explode(_slots(F.split("key", " "))).alias("s")).select("project", "path", "pages", "s.word", "s.slot")
+    sided = F.explode(F.array(F.struct(F.col("front").alias("leaf"), F.lit(1).alias("side")), F.struct(F.col("back").alias("leaf"), F.lit(2).alias("side")))).alias("l")
+    near = long.select("project", "pos", "path", "key", "letters", sided).select("project", "pos", "path", "key", "letters", "l.*").join(leaves, "leaf", "left_semi")
+    at = stage(near.groupBy("project", "path", "pos", "key").agg(F.max("letters").alias("letters"), F.bit_or("side").alias("sides")))
+    keys = at.groupBy("project", "path", "key").agg(F.count("*").alias("pages"), F.bit_or("sides").alias("sides"))
+    slots = keys.select("project", "path", "pages", F.explode(_slots(F.split("key", " "), F.col("sides"))).alias("s")).select("project", "path", "pages", "s.word", "s.slot")
     top = F.max(F.struct("pages", (-F.col("path")).alias("less"), "path", "word"))
     tops = slots.groupBy("project", "slot").agg(top.alias("top"), F.count("*").alias("n")).where("n > 1").select("project", "slot", F.col("top.path").alias("root"), F.col("top.pages").alias("root_pages"), F.col("top.word").alias("root_word"))
     apart = F.levenshtein("word", "root_word")

@@ -48,7 +48,7 @@ _DIGITS, _NUMERAL = 19, 1015
 _ENDS = 6
 _HYPHENS = "-‐‑¬\u00ad"
 #: Lines after a hyphen, and at a page's top, of which the first word is kept; pages with so many repeated lines or page numbers are read once more.
-REACH = 8
+REACH = 6
 _NOTHING = "\u200b\u200c\u200d\u2060\ufeff"
 _STOPS = frozenset(".!?…,;:-‐¬­")
 #: Small letters whose capitals have one shape, so that a key is the same in either case.

@@ -10,8 +10,11 @@ ENDS = "keldi. qaytdi. yurdi. topdi! koʻrdi.".split()
 COMMON = frozenset({"bilan"})
 
 
+MANY = [a + b + c for a in ("bo", "ki", "du", "sa", "no", "le") for b in ("ra", "ti", "mo", "zu", "ne") for c in ("n", "lar", "da", "ning", "ga", "m", "cha", "li", "siz", "dan")]
+
+
 def sentence(rng):
-    return " ".join(rng.choices(WORDS, k=rng.randint(4, 8))).capitalize() + " bilan " + rng.choice(ENDS)
+    return " ".join(rng.choices(MANY, k=rng.randint(4, 8))).capitalize() + " bilan " + rng.choice(ENDS)
 
 
 def prose(rng, n=8):
