@@ -6,7 +6,6 @@ import pytest
 from leafmill.llm.spam import TAIL, Classes, Trigrams, fit, repeats, scores, sequences, stuffed, trigrams_of
 
 WORDS = "katta kichik daryo kitob bogʻda uzun suvlar yangi eski qalin sokin oqshom shamol tongda yulduz qushlar".split()
-ENDS = "keldi. qaytdi. yurdi. topdi! koʻrdi.".split()
 COMMON = frozenset({"bilan"})
 
 
@@ -14,7 +13,7 @@ MANY = [a + b + c for a in ("bo", "ki", "du", "sa", "no", "le") for b in ("ra",
 
 
 def sentence(rng):
-    return " ".join(rng.choices(MANY, k=rng.randint(4, 8))).capitalize() + " bilan " + rng.choice(ENDS)
+    return " ".join(rng.choices(MANY, k=rng.randint(4, 8))).capitalize() + " bilan " + rng.choice(MANY) + rng.choice(".!")
 
 
 def prose(rng, n=8):
