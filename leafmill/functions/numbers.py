@@ -141,3 +141,11 @@ def display(x: Column, code: str | None) -> Column:
         return F.concat(F.translate(F.format_number(x * 100, digits), ",", ""), F.lit("%"))
     out = grouped(x, digits) if "," in core else F.translate(F.format_number(x, digits), ",", "")
     return F.concat(out, F.lit(" " + literal[1])) if literal and literal[1] else out
+
+
+def utf16_units(char: Column) -> Column:
+    """The signed numbers of a character's UTF-16 units, as rich text escapes them, apart by ``?\\u``; '' for none."""
+    units = F.hex(F.encode(char, "UTF-16BE"))
+    number = lambda i: F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("int")
+    signed = lambda n: F.when(n > 32767, n - 65536).otherwise(n).cast("string")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(units) - 3, F.lit(1)), F.lit(4)), lambda i: signed(number(i))), "?\\u")

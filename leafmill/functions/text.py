@@ -165,21 +165,31 @@ def plain_text(blocks: Column) -> Column:
     return F.array_join(texts, "\n\n")
 
 
+# What is taken out of foreign markup, in this order, and what stands in its place; closing tags left alone and addresses without quotes go too.
+SANITISED = (
+    (r"(?is)<script\b.*?</script\s*>", ""),
+    (r"(?is)<(iframe|object|embed|frameset|frame|applet|form)\b.*?(</\1\s*>|/?>)", ""),
+    (r"(?is)</?(script|iframe|object|embed|frameset|frame|applet|form|meta|base|link)\b[^>]*>", ""),
+    (r"(?i)\son[a-z]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", ""),
+    (r"(?i)(href|src|xlink:href)\s*=\s*([\"'])\s*(javascript|vbscript|data:text/html)[^\"']*\2", '$1="#"'),
+    (r"(?i)(href|src|xlink:href)\s*=\s*(javascript|vbscript|data:text/html)[^\s>]*", '$1="#"'),
+)
+
+
 def sanitise(html: Column) -> Column:
-    """without scripts, embedded objects, meta tags, event attributes and script addresses."""
-    out = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>", "")
-    out = F.regexp_replace(out, r"(?i)</?(script|iframe|object|embed|applet|form|meta|base|link)\b[^>]*>", "")
-    out = F.regexp_replace(out, r"(?i)\son[a-z]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
-    return F.regexp_replace(out, r"(?i)(href|src)\s*=\s*([\"']?)\s*javascript:[^\"'\s>]*", "$1=$2#")
+    """without scripts, tags of embedded objects, frames and forms, meta tags, event attributes and script addresses; what stands between the tags of a frame stays."""
+    for pattern, by in SANITISED:
+        html = F.regexp_replace(html, pattern, by)
+    return html
 
 
 def decode_entities(text: Column) -> Column:
-    """the named entities, ``&amp;`` last; numeric ones up to U+FFFF."""
-    numbers = F.regexp_extract_all(text, F.lit(r"&#(x[0-9A-Fa-f]{1,4}|\d{1,5});"), F.lit(1))
+    """the named entities, ``&amp;`` last; numeric ones of the whole code space, those beyond it and surrogates as nothing."""
+    numbers = F.regexp_extract_all(text, F.lit(r"&#(x[0-9A-Fa-f]{1,6}|\d{1,7});"), F.lit(1))
     code = lambda n: F.when(n.startswith("x"), F.conv(F.substring(n, 2, 8), 16, 10)).otherwise(n).cast("int")
-    # a code point below 0x10000 as UTF-16BE bytes
-    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(code(n)), 4, "0")), "UTF-16BE")
-    out = F.aggregate(F.array_distinct(numbers), text, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), F.when(code(n).between(1, 0xFFFF) & ~code(n).between(0xD800, 0xDFFF), char(n)).otherwise("")))
+    # a code point as its four bytes
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(code(n)), 8, "0")), "UTF-32")
+    out = F.aggregate(F.array_distinct(numbers), text, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), F.when(code(n).between(1, 0x10FFFF) & ~code(n).between(0xD800, 0xDFFF), char(n)).otherwise("")))
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
     return out

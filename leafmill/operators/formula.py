@@ -599,10 +599,19 @@ def recalculate(cells: DataFrame) -> DataFrame:
 def to_column(formula: str, columns: dict[str, Column]) -> Column:
     """A formula over columns of one row as a Column of double: names stand for ``columns``; arithmetic, comparison and scalar functions.
 
-    Division by zero and roots of negative numbers give null. Range functions are in ``aggregates``.
+    Division by zero and roots of negative numbers give null, as errors do. The arguments of IF are worked out before it chooses, so an
+    error in the branch that is not taken is its result too; an empty column is no error. Range functions are in ``aggregates``.
     """
     from leafmill.functions import numbers as N
 
+    def failed(nodes: list[Node], args: list[Column]) -> Column:
+        """Whether any argument that is worked out is an error."""
+        out = F.lit(False)
+        for n, a in zip(nodes, args):
+            if n.op != "value" and not (n.op == "call" and n.value == "COL"):
+                out = out | a.isNull()
+        return out
+
     def one(node: Node) -> Column:
         if node.op == "value":
             return F.lit(node.value)
@@ -619,7 +628,7 @@ def to_column(formula: str, columns: dict[str, Column]) -> Column:
             calls = {
                 "ROUND": lambda: N.round_half_up(args[0], digits), "ROUNDUP": lambda: N.round_up(args[0], digits), "ROUNDDOWN": lambda: N.round_down(args[0], digits), "ABS": lambda: F.abs(args[0]),
                 "INT": lambda: F.floor(args[0]).cast("double"), "MOD": lambda: N.modulo(args[0], args[1]), "SQRT": lambda: F.when(args[0] >= 0, F.sqrt(args[0])), "POWER": lambda: F.pow(args[0], args[1]), "PI": lambda: F.lit(math.pi),
-                "IF": lambda: F.when(args[0], args[1]).otherwise(args[2] if len(args) > 2 else F.lit(0.0)), "NOT": lambda: ~args[0], "MIN": lambda: F.least(*args), "MAX": lambda: F.greatest(*args), "LEN": lambda: N.utf16_length(args[0]),
+                "IF": lambda: F.when(~failed(node.args, args), F.when(args[0], args[1]).otherwise(args[2] if len(args) > 2 else F.lit(0.0))), "NOT": lambda: ~args[0], "MIN": lambda: F.least(*args), "MAX": lambda: F.greatest(*args), "LEN": lambda: N.utf16_length(args[0]),
                 "TRIM": lambda: N.squeeze(args[0]), "UPPER": lambda: F.upper(args[0]), "LOWER": lambda: F.lower(args[0]), "CONCAT": lambda: F.concat(*args),
             }
             if node.value not in calls:

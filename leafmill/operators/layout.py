@@ -105,9 +105,7 @@ def assemble(blocks: DataFrame) -> DataFrame:
     # the page where the block that page `pos` goes on from begins
     heads = edges.select("project", "pos", F.when(F.col("goes"), F.col("pos") - 1).otherwise(F.col("pos")).alias("head"), (F.col("goes") & F.col("through")).alias("open"))
     heads = stage(heads)
-    for _ in range(12):  # 4096 pages of one unbroken paragraph; hardly ever a single step
-        if heads.where("open").isEmpty():
-            break
+    while not heads.where("open").isEmpty():  # hardly ever a single step; every step doubles the pages that are passed
         back = heads.select("project", F.col("pos").alias("head"), F.col("head").alias("head2"), F.col("open").alias("open2"))
         heads = heads.join(back, ["project", "head"], "left").select("project", "pos", F.when(F.col("open"), F.coalesce("head2", "head")).otherwise(F.col("head")).alias("head"), (F.col("open") & F.coalesce("open2", F.lit(False))).alias("open"))
         heads = stage(heads)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions.numbers import differs, parse_number
+from leafmill.plans.staging import stage
 
 
 def sort_keys(raw: Column, ascending: bool = True) -> list[Column]:
@@ -65,8 +66,13 @@ def replace_all(text: Column, find: str, by: str, ignore_case: bool = False) ->
     return F.struct(new.alias("text"), F.regexp_count(text, F.lit(pattern)).alias("count"))
 
 
-def dense(cells: DataFrame) -> DataFrame:
-    """Every cell of the rectangle up to the last filled one; missing cells as ''."""
+# The last row and column of a dense view.
+DENSE_ROW, DENSE_COL = 10_000, 255
+
+
+def dense(cells: DataFrame, last_row: int = DENSE_ROW, last_col: int = DENSE_COL) -> DataFrame:
+    """Every cell of the rectangle up to the last filled one, at most to ``last_row`` and ``last_col``; missing cells as ''."""
+    cells = cells.where((F.col("row") <= last_row) & (F.col("col") <= last_col))
     filled = cells.where("coalesce(raw, '') <> ''").groupBy("book", "sheet").agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
     grid = filled.select("book", "sheet", F.explode(F.sequence(F.lit(0), "rows")).alias("row"), "cols").select("book", "sheet", "row", F.explode(F.sequence(F.lit(0), "cols")).alias("col"))
     return grid.join(cells.select("book", "sheet", "row", "col", "raw"), ["book", "sheet", "row", "col"], "left").withColumn("raw", F.coalesce("raw", F.lit("")))
@@ -110,10 +116,13 @@ def uncovered(cells: DataFrame, merges: DataFrame, block: int = 256) -> DataFram
     return c.join(m, inside, "left_anti").drop("blk")
 
 
-def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of ranges of one sheet that overlap."""
-    a, b = a.alias("a"), b.alias("b")
-    return a.join(b, F.expr("a.book = b.book and a.sheet = b.sheet and a.r0 <= b.r1 and a.r1 >= b.r0 and a.c0 <= b.c1 and a.c1 >= b.c0 and a.id < b.id")).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
+def overlapping(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
+    """Pairs of ranges of one sheet that overlap: an equality join on blocks of rows and columns, of which a pair counts in the first that both cover."""
+    across = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block)))
+    a, b = (x.withColumn("blk", across("r0", "r1")).withColumn("blk_c", across("c0", "c1")).alias(n) for x, n in ((a, "a"), (b, "b")))
+    same = F.expr("a.book = b.book and a.sheet = b.sheet and a.blk = b.blk and a.blk_c = b.blk_c and a.r0 <= b.r1 and a.r1 >= b.r0 and a.c0 <= b.c1 and a.c1 >= b.c0 and a.id < b.id")
+    first = F.expr(f"a.blk = floor(greatest(a.r0, b.r0) / {block}) and a.blk_c = floor(greatest(a.c0, b.c0) / {block})")
+    return a.join(b, same & first).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
 
 
 def nearest(xs: DataFrame, columns: Column) -> Column:
@@ -176,15 +185,17 @@ def outline(paragraphs: DataFrame) -> DataFrame:
 def inherited(styles: DataFrame, fields: list[str], deepest: int = 10) -> DataFrame:
     """Styles (doc, id, parent, fields...) with each missing field from the nearest ancestor that has it; cycles and depths beyond ten end the search.
 
-    One join a level over all documents at once; it stops as soon as no style has an ancestor left.
+    One join a level over all documents at once; it stops as soon as no style has an ancestor left, each level being staged.
     """
     own = styles.select("doc", "id", "parent", *fields)
     up = own.select("doc", F.col("id").alias("parent"), F.col("parent").alias("_next"), *[F.col(f).alias(f"_{f}") for f in fields])
     out = own.withColumn("_seen", F.array("id"))
     for _ in range(deepest):
-        out = out.join(up, ["doc", "parent"], "left").select(
+        if out.where("parent is not null").isEmpty():
+            break
+        out = stage(out.join(up, ["doc", "parent"], "left").select(
             "doc", "id", F.when(~F.array_contains("_seen", F.coalesce("_next", F.lit(""))), F.col("_next")).alias("parent"), *[F.coalesce(f, f"_{f}").alias(f) for f in fields], F.concat("_seen", F.array(F.coalesce("_next", F.lit("")))).alias("_seen")
-        )
+        ))
     return out.select("doc", "id", *fields)
 
 

@@ -16,6 +16,7 @@ from leafmill.operators import layout as D
 from leafmill.operators import sheet as Q
 from leafmill.plans.ranking import global_rank
 from leafmill.plans.staging import table
+from leafmill.sinks import writers as K
 from leafmill.sources import formats as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +50,7 @@ def a7_conditional_aggregates(spark, d):
     """SUMIF, COUNTIF and AVERAGEIF over lineitem as a sheet."""
     t = table(spark, d, "lineitem")
     return t.groupBy("l_returnflag").agg(
-        F.coalesce(F.sum(F.when(A.criterion(F.col("l_quantity"), ">=10"), F.col("l_extendedprice").cast(_MONEY))), F.lit(0)).cast("double").alias("sum_if"),
+        A.sum_if(F.col("l_quantity"), ">=10", F.col("l_extendedprice").cast(_MONEY)).cast("double").alias("sum_if"),
         A.count_if(F.col("l_linestatus"), "=o", numeric=False).alias("count_if"), A.average_if(F.col("l_quantity"), "<>5", F.col("l_quantity")).alias("average_if"),
     )
 
@@ -115,7 +116,10 @@ def f13_row_formulas(spark, d):
     return t.select("p_partkey", to_column('COL("price")*COL("size")/3', cols).alias("cost"), to_column('IF(COL("size")>25,ROUND(COL("price"),0),0)', cols).alias("rounded"))
 
 
-@query()
+@query("""
+with l as (select cast(l_orderkey as varchar) as book, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 as int) as row, l_quantity * (1 - l_discount) as num from lineitem),
+s as (select book, cast(max(row) + 1 as int) as row, list_reduce(list_prepend(cast(0 as double), list(num order by row)), lambda a, x: a + x) as num from l group by book)
+select book, row, cast(2 as int) as col, 'num' as kind, num from (select * from l union all select * from s)""")
 def f17_recalculate(spark, d):
     """Every order is a workbook: its lines as rows, a product per row, sums and a cycle."""
     from leafmill.operators.formula import recalculate
@@ -356,10 +360,15 @@ def f26_fold_script(spark, d):
     return _tokens(spark, d).select("w", X.fold_script(F.col("w")).alias("fixed"))
 
 
-@query()
+@query(f"""
+with t as (select w, {_n('[Ѐ-ӿ]')} >= {_n('[A-Za-z]')} as cy, length(w) >= 3 and contains(w, '0') and {_n('[\\p{L}]')} >= greatest(2, length(w) - 2) as fits from {_TOKENS})
+select w, case when fits then list_reduce(list_prepend('', list_transform(range(1, length(w) + 1), lambda i: substr(w, i, 2))), lambda a, x: a || case
+  when substr(x, 1, 1) = '0' and (regexp_matches(right(a, 1), '^\\p{{L}}$') or regexp_matches(substr(x, 2, 1), '^\\p{{L}}$')) then
+    case when regexp_matches(right(a, 1), '^\\p{{Lu}}$') and (length(x) = 1 or regexp_matches(substr(x, 2, 1), '^\\p{{Lu}}$')) then case when cy then 'О' else 'O' end else case when cy then 'о' else 'o' end end
+  else substr(x, 1, 1) end) else w end as fixed from t""")
 def f27_zero_repair(spark, d):
-    """zeros in words."""
-    return _tokens(spark, d).where("w like '%0%'").select("w", X.zero_to_letter(F.col("w")).alias("fixed"))
+    """F27 over the distinct words of the documents."""
+    return _tokens(spark, d).select("w", X.zero_to_letter(F.col("w")).alias("fixed"))
 
 
 @query(f"""select w, regexp_replace(regexp_replace(w, '([oOgG])[''‘’`ʼ´]', '\\1ʻ', 'g'), 'ʻ[''‘’`ʼ´ʻ"“]+', 'ʻ', 'g') as fixed from {_TOKENS}""")
@@ -490,7 +499,17 @@ def d16_running_heads(spark, d):
     return D.running_heads(_blocks(spark, d))
 
 
-@query()
+# letters of several bytes as letters of one, as the SQL counts edits in bytes
+_WIDE = "абвгдеёжзийклмнопрстуфхцчшщъыьэюяўқғҳіјѕԁӏһöüçşğñáàâäéèêíóôúʻʼ"
+_NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}"[: len(_WIDE)]
+
+
+@query(f"""
+with b as {_BLOCKS}, t as (select *, row_number() over (partition by project, pos order by idx) as d, row_number() over (partition by project, pos order by idx desc) as u, regexp_replace(lower(text), '[^\\p{{L}}]', '', 'g') as k from b where type <> 'IMAGE'),
+c as (select distinct project, pos, k as key from t where d <= 2 or u = 1), o as (select project, count(distinct pos) as c from b group by project), h as (select c.project, key from c join o on o.project = c.project where length(key) between 6 and 90 group by c.project, key, o.c having count(*) >= 2 and count(*) >= 0.3 * o.c),
+m as (select t.project, t.pos, t.idx, min(h.key) as head from t join h on h.project = t.project and length(k) >= length(key) * 0.75 and levenshtein(translate(left(k, length(key)), '{_WIDE}', '{_NARROW}'), translate(key, '{_WIDE}', '{_NARROW}')) <= greatest(length(left(k, length(key))), length(key)) * 0.2 group by all)
+select b.project, b.pos, b.idx, case when head is null then b.text else regexp_replace(regexp_replace(case when length(regexp_replace(b.text, '[^\\p{{L}}]', '', 'g')) < length(head) then '' else regexp_replace(b.text, '(?s)^([^\\p{{L}}]*\\p{{L}}){{' || length(head) || '}}', '') end, '^[^ \\t\\n\\x0B\\f\\r]+', ''), '^[ ,.;:—-]+', '') end as text
+from b left join m on m.project = b.project and m.pos = b.pos and m.idx = b.idx where head is null or length(regexp_replace(lower(b.text), '[^\\p{{L}}]', '', 'g')) > length(head) * 1.3""")
 def d17_without_heads(spark, d):
     """Blocks without running heads, by similar keys."""
     b = _blocks(spark, d)
@@ -514,7 +533,15 @@ def d15_page_joins(spark, d):
     return both.select("project", "pos", F.coalesce(goes, F.lit(False)).alias("goes"))
 
 
-@query()
+@query(f"""
+with b as {_BLOCKS}, t as (select *, row_number() over (partition by project, pos order by idx) as d, row_number() over (partition by project, pos order by idx desc) as u from b where type <> 'IMAGE'),
+e as (select f.*, case when f.d = 1 then p.type end as pt, case when f.d = 1 then regexp_replace(p.text, '\\s+$', '') end as p from t f left join t p on p.project = f.project and p.pos = f.pos - 1 and p.u = 1),
+g as (select *, type = 'PARAGRAPH' and coalesce(pt, '') = 'PARAGRAPH' and coalesce(case when length(p) * length(ltrim(text, ' ')) = 0 then false when regexp_matches(p, '[-‐‑¬' || chr(173) || ']$') then true when regexp_matches(p, '[.!?…]$|[.!?…][»"”]$') then false
+  when regexp_matches(text, '\\p{{L}}') then regexp_matches(regexp_extract(text, '^[^\\p{{L}}]*(\\p{{L}})', 1), '^\\p{{Ll}}$') or suffix(p, ',') else false end, false) as goes from e),
+n as (select *, sum(case when goes then 0 else 1 end) over (partition by project order by pos, idx) as part from g)
+select project, min(pos) as pos, arg_min(idx, (pos, idx)) as idx, arg_min(type, (pos, idx)) as type, list_reduce(list(text order by pos, idx), lambda a, x: case
+  when regexp_matches(rtrim(a, ' '), '\\p{{L}}[-‐‑¬' || chr(173) || ']$') and regexp_matches(regexp_extract(ltrim(x, ' '), '^[^\\p{{L}}]*(\\p{{L}})', 1), '^\\p{{Ll}}$') then left(rtrim(a, ' '), length(rtrim(a, ' ')) - 1) || ltrim(x, ' ') else rtrim(a, ' ') || ' ' || ltrim(x, ' ') end) as text
+from n group by project, part""")
 def d15_assemble(spark, d):
     """Paragraphs over page edges."""
     return D.assemble(_blocks(spark, d))
@@ -527,7 +554,12 @@ def a11_contents(spark, d):
     return D.contents(_blocks(spark, d))
 
 
-@query()
+@query("""
+with l as (select doc_id, n, trim(line, ' ') as line from (select doc_id, generate_subscripts(p, 1) as n, unnest(p) as line from (select doc_id, string_split_regex(text, '\r\n|\r|\n') as p from documents where text is not null))),
+m as (select *, coalesce(sum(case when line = '' or (length(line) < 45 and regexp_matches(line, '[.!?:]$')) then 1 else 0 end) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) as par from l),
+p as (select doc_id as doc, par, list_reduce(list(line order by n), lambda a, x: case when suffix(a, '-') and regexp_matches(x, '^\\p{Ll}') then left(a, length(a) - 1) || x else a || ' ' || x end) as text from m where line <> '' group by doc_id, par),
+q as (select *, regexp_replace(text, '[^\\p{L}]', '', 'g') as k from p)
+select doc, cast(par as bigint) as par, text, case when length(text) < 70 and not suffix(text, '.') and length(text) - length(replace(text, ' ', '')) < 10 and k <> '' and k = upper(k) then 'HEADING2' else 'PARAGRAPH' end as type from q""")
 def f36_paragraphs(spark, d):
     """F36 over documents as pages."""
     t = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), F.lit(0).alias("pos"), "text")
@@ -564,19 +596,21 @@ def a13_groups(spark, d):
     return table(spark, d, "documents").where("title is not null").groupBy("source", "title").agg(fmts.alias("fmts"))
 
 
-@query("select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name, min(o_orderkey) as path from customer join orders on o_custkey = c_custkey group by all")
 def j12_semi_join(spark, d):
-    """Rows that have a counterpart."""
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_name")
+    """Pages that have an image, customers with orders standing for them."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("path"))
+    return C.with_images(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), orders).select(F.col("id").alias("c_custkey"), "c_name", "path")
 
 
 @query(f"""
-with l as (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^{X.BLANK}+|{X.BLANK}+$', '', 'g') as line from documents where text is not null)
-select doc_id, line, unnest(string_split_regex(line, '\\s{{2,}}|\\t')) as part from l where line <> ''""")
+with l as (select doc_id, generate_subscripts(p, 1) as n, regexp_replace(unnest(p), '^{X.BLANK}+|{X.BLANK}+$', '', 'g') as line from (select doc_id, string_split_regex(text, '\r\n|\r|\n') as p from documents where text is not null)),
+r as (select doc_id, cast(row_number() over (partition by doc_id order by n) - 1 as int) as row, string_split_regex(line, '\\s{{2,}}|\\t') as parts from l where line <> '')
+select doc_id as book, row, cast(generate_subscripts(parts, 1) - 1 as int) as col, unnest(parts) as raw from r""")
 def k12_text_cells(spark, d):
     """Lines as table cells."""
-    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", X.strip(F.col("line"))).where("line <> ''")
-    return lines.select("doc_id", "line", F.explode(F.split("line", r"\s{2,}|\t")).alias("part"))
+    pages = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), F.lit(0).alias("pos"), "text")
+    return K.text_to_cells(pages).select("book", "row", "col", "raw")
 
 
 # ---------------------------------------------------------------- catalogue
@@ -642,11 +676,11 @@ def a12_progress(spark, d):
 
 
 @query(f"""
-with l as {_LATEST} select id, p.id as page from (select id, unnest(pages) as p from l) where not p.ocrDone""")
+with l as {_LATEST}, p as (select id as project, i - 1 as pos, pages[i].ocrDone and pages[i].confidence >= 60 as done from (select id, pages, unnest(range(1, len(pages) + 1)) as i from l)) select project, pos from p where not coalesce(done, false)""")
 def cat8_to_do(spark, d):
-    """Pages still to be recognised."""
-    pages = _latest(spark, d).select("id", F.explode("pages").alias("p"))
-    return pages.where(~F.col("p.ocrDone")).select("id", F.col("p.id").alias("page"))
+    """Pages still to be recognised with some confidence."""
+    pages = _latest(spark, d).select(F.col("id").alias("project"), F.posexplode("pages").alias("pos", "p"))
+    return C.to_do(pages.select("project", "pos"), pages.where("p.ocrDone and p.confidence >= 60").select("project", "pos"))
 
 
 @query(f"""
@@ -716,25 +750,25 @@ def i4_otsu(spark, d):
     return I.otsu(_bins(spark, d), ["camera"])
 
 
-@query("select event_id, min(value) over k as lo, max(value) over k as hi, cast(count(value) over k as bigint) as n from events window k as (partition by user_id order by ts, event_id rows between 2 preceding and 2 following)")
-def i9_neighbourhoods(spark, d):
-    """The window of the centred moving average, by its extremes, which are exact."""
-    from pyspark.sql import Window as W
-
-    k = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 2)
-    return table(spark, d, "events").select("event_id", F.min("value").over(k).alias("lo"), F.max("value").over(k).alias("hi"), F.count("value").over(k).alias("n"))
-
-
-@query()
+@query("""
+with e as (select vec_id, list_transform(embedding, lambda x: floor(cast(x as double) * 1000)) as v from embeddings)
+select vec_id, list_transform(range(1, len(v) + 1), lambda i: list_sum(v[greatest(i - 3, 1) : i + 3]) / len(v[greatest(i - 3, 1) : i + 3])) as smooth from e""")
 def i9_smoothing(spark, d):
-    """I9 over array signals."""
-    return table(spark, d, "embeddings").select("vec_id", I.smoothed(F.col("embedding").cast("array<double>"), F.lit(3)).alias("smooth"))
+    """I9 over array signals of whole numbers."""
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", I.smoothed(whole, F.lit(3)).alias("smooth"))
 
 
-@query()
+@query("""
+with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as x from embeddings), v as (select vec_id, list_transform(x, lambda y: y - list_avg(x)) as v, len(x) as n from e),
+a as (select vec_id, n, list_transform(range(0, n), lambda k: list_dot_product(v[1 : n - k], v[k + 1 : n]) / (n - k)) as ac from v),
+b as (select vec_id, n, ac, list_position(ac[4 : n // 2], list_max(ac[4 : n // 2])) + 2 as p from a),
+h as (select vec_id, n, ac, p, case when p >= 6 and ac[p // 2 + 1] > 0.8 * ac[p + 1] then p // 2 else p end as q from b),
+h2 as (select vec_id, n, ac, p, case when q < p and q >= 6 and ac[q // 2 + 1] > 0.8 * ac[q + 1] then q // 2 else q end as q from h)
+select vec_id, case when ac[p + 1] > 0 then cast(round((q + case when ac[q] - 2 * ac[q + 1] + ac[q + 2] <> 0 then 0.5 * (ac[q] - ac[q + 2]) / (ac[q] - 2 * ac[q + 1] + ac[q + 2]) else 0 end) * 1000000) as bigint) end as pitch from h2""")
 def i8_pitch(spark, d):
-    """I8 over array signals."""
-    return table(spark, d, "embeddings").select("vec_id", I.pitch(F.col("embedding").cast("array<double>")).alias("pitch"))
+    """I8 over array signals, in millionths."""
+    return table(spark, d, "embeddings").select("vec_id", F.round(I.pitch(F.col("embedding").cast("array<double>")) * 1_000_000).cast("bigint").alias("pitch"))
 
 
 @query("select project, pos, width > height * 1.05 as spread from (select distinct project, pos, width, height from ocr_page)")
@@ -743,7 +777,15 @@ def i12_spreads(spark, d):
     return table(spark, d, "ocr_page").select("project", "pos", I.looks_like_spread(F.col("width"), F.col("height")).alias("spread")).distinct()
 
 
-@query()
+@query("""
+with recursive f as (select camera, ts, motion, coalesce(sharp, 0) as sharp, sharp as own, mean, cast(floor(epoch_us(ts) / 1000) as bigint) as ms, row_number() over (partition by camera order by ts, motion, mean, sharp nulls first) as n from (select distinct camera, ts, motion, sharp, mean from frames) where camera is not null and ts is not null and motion is not null and mean is not null),
+s as (
+  select camera, cast(0 as bigint) as n, 0 as still, 0 as moving, true as armed, cast(0 as bigint) as last, cast(0 as double) as best, false as fired from (select distinct camera from f)
+  union all
+  select camera, n, case when fired then 0 else still end, case when fired then 0 when not was and motion > 7 then moving + 1 else moving end, case when fired then false when was then true else not motion > 7 and moving >= 2 and motion < 3 and ms - last > 900 end, case when fired then ms else last end, best, fired
+  from (select f.camera, f.n, f.ms, f.motion, s.armed as was, s.moving, s.last, greatest(s.best * 0.995, f.sharp) as best, case when s.armed then case when f.motion < 2.2 then s.still + 1 else 0 end else s.still end as still,
+    s.armed and f.motion < 2.2 and s.still + 1 >= 9 and f.sharp >= greatest(s.best * 0.995, f.sharp) * 0.72 and f.mean > 35 as fired from s join f on f.camera = s.camera and f.n = s.n + 1))
+select f.camera, f.ts, f.own as sharp from s join f on f.camera = s.camera and f.n = s.n where s.fired""")
 def t1_shots(spark, d):
     """The automatic shutter over the frames."""
     from leafmill.streaming.shots import shots_batch

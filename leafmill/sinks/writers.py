@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from functools import partial
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
@@ -102,9 +101,12 @@ def docx(blocks: list[dict]) -> bytes:
     })
 
 
-def _docx_of(key: str, table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: (r["pos"], r["idx"]))
-    return pa.table({"name": [f"{rows[0][key]}.docx"], "content": pa.array([docx(rows)], pa.binary())})
+def _docx_of(key: str):
+    def made(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["pos"], r["idx"]))
+        return pa.table({"name": [f"{rows[0][key]}.docx"], "content": pa.array([docx(rows)], pa.binary())})
+
+    return made
 
 
 def _xlsx_of(table: pa.Table) -> pa.Table:
@@ -120,7 +122,7 @@ def _xlsx_of(table: pa.Table) -> pa.Table:
 
 def to_docx(blocks: DataFrame, key: str = "project") -> DataFrame:
     """(name, content) of one document per ``key`` out of blocks (key, pos, idx, type, align, spans)."""
-    return blocks.select(key, "pos", "idx", "type", "align", "spans").groupBy(key).applyInArrow(partial(_docx_of, key), FILES)
+    return blocks.select(key, "pos", "idx", "type", "align", "spans").groupBy(key).applyInArrow(_docx_of(key), FILES)
 
 
 def to_xlsx(cells: DataFrame) -> DataFrame:

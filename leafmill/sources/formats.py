@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,6 +65,14 @@ def decode_text(b: bytes) -> str:
         return b.decode("windows-1251", "replace")
 
 
+def _directory(b: bytes) -> frozenset[str]:
+    """Names of the parts of a package by its directory; of a damaged one by the heads of its parts."""
+    try:
+        return frozenset(zipfile.ZipFile(io.BytesIO(b)).namelist())
+    except (zipfile.BadZipFile, NotImplementedError, UnicodeDecodeError, ValueError):
+        return frozenset(name.decode("utf-8", "replace") for size, name in ((int.from_bytes(b[m.start() + 26 : m.start() + 28], "little"), b[m.start() + 30 :]) for m in re.finditer(rb"PK\x03\x04", b)) for name in [name[:size]])
+
+
 def detect(b: bytes, by_name: str) -> str:
     """By content; the format of the name decides only where the content leaves it open."""
     if b"%PDF-" in b[:1024]:
@@ -70,10 +82,11 @@ def detect(b: bytes, by_name: str) -> str:
         for mark, fmt in ((b"application/epub+zip", "EPUB"), (b"opendocument.text", "ODT"), (b"opendocument.spreadsheet", "ODS"), (b"opendocument.presentation", "ODP")):
             if mark in head:
                 return fmt
-        for part, fmt in ((b"word/document.xml", "DOCX"), (b"word/document2.xml", "DOCX"), (b"xl/workbook.xml", "XLSX"), (b"ppt/presentation.xml", "PPTX")):
-            if part in b:
+        parts = _directory(b)
+        for part, fmt in (("word/document.xml", "DOCX"), ("word/document2.xml", "DOCX"), ("xl/workbook.xml", "XLSX"), ("ppt/presentation.xml", "PPTX")):
+            if part in parts:
                 return fmt
-        if b"content.xml" in b and by_name in ("ODT", "ODS", "ODP"):
+        if "content.xml" in parts and by_name in ("ODT", "ODS", "ODP"):
             return by_name
         return by_name if by_name in ("DOCX", "XLSX", "PPTX", "EPUB") else "UNKNOWN"
     from leafmill.sources.legacy import MAGIC, Compound

@@ -90,7 +90,7 @@ def _column(ref: str) -> int:
 
 
 def xlsx_cells(data: bytes) -> list[dict]:
-    """Cells with sheet, name, row, col, raw, kind, formula, group of a shared formula and number format."""
+    """Cells, and a row with ``error`` for each sheet with cells beyond the bounds, with sheet, name, row, col, raw, kind, formula, group of a shared formula and number format."""
     p = Package(data)
     root = p.xml("xl/sharedStrings.xml")
     # phonetic readings (rPh) are no text of a cell
@@ -112,7 +112,7 @@ def xlsx_cells(data: bytes) -> list[dict]:
     out = []
     for k, (name, path) in enumerate(sheets):
         sheet = p.xml(path)
-        row = -1
+        row, beyond = -1, 0
         for r in (e for e in sheet.iter() if local(e.tag) == "row") if sheet is not None else ():
             row = int(r.get("r")) - 1 if (r.get("r") or "").isdigit() else row + 1
             col = -1
@@ -121,6 +121,7 @@ def xlsx_cells(data: bytes) -> list[dict]:
                     continue
                 col = _column(c.get("r")) if c.get("r") else col + 1
                 if not (0 <= row <= MAX_ROW and 0 <= col <= MAX_COL):
+                    beyond += 1
                     continue
                 kind, value, formula, group = c.get("t"), "", None, None
                 for e in c:
@@ -142,6 +143,8 @@ def xlsx_cells(data: bytes) -> list[dict]:
                         pass
                 s = c.get("s")
                 out.append({"sheet": k, "sheet_name": name, "row": row, "col": col, "raw": value, "kind": kind, "formula": formula, "si": int(group) if group is not None else None, "num_fmt": formats[int(s)] if s and int(s) < len(formats) else None})
+        if beyond:
+            out.append({"sheet": k, "sheet_name": name, "error": f"{beyond} cells beyond row {MAX_ROW} or column {MAX_COL}"})
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,7 +82,7 @@ def _read(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for path, data, fmt in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), batch.column("fmt").to_pylist()):
             try:
                 if kind == "cells":
-                    rows = [(path, *(c.get(n) for n in names[1:-1]), None) for c in _cells_of(data or b"", fmt)]
+                    rows = [(path, *(c.get(n) for n in names[1:])) for c in _cells_of(data or b"", fmt)]
                 else:
                     rows = [(path, p, i, b["type"], b["align"], b["spans"], None) for p, part in enumerate(_parts_of(data or b"", fmt)) for i, b in enumerate(part)]
             except Exception as e:  # one broken file must not end the job
@@ -108,6 +109,28 @@ def read_blocks(found: DataFrame) -> DataFrame:
     return found.where(F.col("fmt").isin("DOCX", "ODT", "DOC", "RTF", "PPTX", "ODP", "PPT", "EPUB", "HTML", "TXT")).select("path", "content", "fmt").mapInArrow(_reader("blocks"), BLOCKS)
 
 
+WORDS = "block int, par int, line int, word int, text string, l int, t int, r int, b int, conf int, bold boolean, italic boolean"
+
+
+def _hocr(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in WORDS.split(", ")]
+    types = [*[pa.int32()] * 4, pa.string(), *[pa.int32()] * 5, pa.bool_(), pa.bool_(), pa.string()]
+    for batch in batches:
+        rows: list[tuple] = []
+        for page, text in zip(batch.column(key).to_pylist(), batch.column("hocr").to_pylist()):
+            try:
+                rows += [(page, *(w[n] for n in names), None) for w in office.hocr_words(text or "<div/>")]
+            except Exception as e:  # one broken page must not end the job
+                rows.append((page, *[None] * len(names), f"{type(e).__name__}: {e}"[:200]))
+        cols = list(zip(*rows)) or [[]] * (len(names) + 2)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [batch.schema.field(key).type, *types])], names=[key, *names, "error"])
+
+
+def read_hocr(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Words of recognised pages (``key``, hocr); a page that cannot be read gives one row with ``error`` and no word."""
+    return pages.select(key, "hocr").mapInArrow(partial(_hocr, key), f"{key} {pages.schema[key].dataType.simpleString()}, {WORDS}, error string")
+
+
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
     """One JSON file per project, latest first; files that do not fit are left out."""
     schema = "id string, title string, createdAt bigint, updatedAt bigint, pages array<struct<id:string,ocrDone:boolean,confidence:int,revision:int>>, language string, detectedLanguage string"

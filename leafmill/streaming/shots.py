@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,8 @@ MOVING, REST, STILL, NEED = 7.0, 3.0, 2.2, 9
 SHARP, DECAY, BRIGHT, PAUSE_MS = 0.72, 0.995, 35.0, 900
 
 SHOTS = "camera string, ts timestamp, sharp double"
-STATE = "still int, moving int, armed boolean, last_ms bigint, best double"
+STATE = "still int, moving int, armed boolean, last_ms bigint, best double, seen timestamp"
+FRAMES = ["camera", "ts", "motion", "sharp", "mean"]
 
 
 @dataclass
@@ -44,41 +45,55 @@ class Shutter:
 
 
 def _fire(frames: pd.DataFrame, shutter: Shutter) -> pd.DataFrame:
-    frames = frames.sort_values(["ts", "motion", "mean"], kind="stable")
+    """The frames, in order, at which the shutter fires."""
     ms = frames["ts"].astype("datetime64[us]").astype("int64") // 1000
-    sharp = frames["sharp"].fillna(0.0)
-    hit = [shutter.step(*row) for row in zip(ms, frames["motion"], sharp, frames["mean"])]
+    hit = [shutter.step(*row) for row in zip(ms, frames["motion"], frames["sharp"].fillna(0.0), frames["mean"])]
     return frames.loc[hit, ["camera", "ts", "sharp"]]
 
 
 def _run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    shutter = Shutter(*state.get) if state.exists else Shutter()
-    frames = pd.concat(list(pdfs))
+    *old, seen = state.get if state.exists else (*astuple(Shutter()), None)
+    shutter = Shutter(*old)
+    frames = pd.concat(list(pdfs)).drop_duplicates(FRAMES).sort_values(["ts", "motion", "mean", "sharp"], kind="stable")
+    if seen is not None:
+        frames = frames[frames["ts"] > pd.Timestamp(seen)]
     yield _fire(frames, shutter)
-    state.update((shutter.still, shutter.moving, shutter.armed, int(shutter.last_ms), float(shutter.best)))
+    if len(frames):
+        seen = frames["ts"].iloc[-1].to_pydatetime()
+    state.update((shutter.still, shutter.moving, shutter.armed, int(shutter.last_ms), float(shutter.best), seen))
+
+
+def _frames(frames: DataFrame) -> DataFrame:
+    return frames.select(*FRAMES).where("camera is not null and ts is not null and motion is not null and mean is not null")
 
 
 def shots(frames: DataFrame) -> DataFrame:
-    """T1 over a stream of frames: one row per shot. Within a trigger frames are taken by time; repeated frames of a trigger count once.
+    """T1 over a stream of frames: one row per shot. Within a trigger frames are taken by time and repeated ones count once; frames not later than those of an earlier trigger are left out, so that frames repeated across triggers count once too.
 
-    The state of a camera is five numbers; one trigger brings a bounded slice of each camera.
+    The state of a camera is six values; one trigger brings a bounded slice of each camera.
     """
-    unique = frames.select("camera", "ts", "motion", "sharp", "mean").where("camera is not null and ts is not null and motion is not null and mean is not null")
-    return unique.groupBy("camera").applyInPandasWithState(_run, SHOTS, STATE, "append", "NoTimeout")
+    return _frames(frames).groupBy("camera").applyInPandasWithState(_run, SHOTS, STATE, "append", "NoTimeout")
 
 
-def _sliced(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-    return _fire(frames, Shutter())
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shutters: dict[str, Shutter] = {}
+    for batch in batches:
+        for camera, frames in batch.groupby("camera", sort=False):
+            # cameras come one after the other, so that only the last one's state is needed again
+            if camera not in shutters:
+                shutters = {camera: Shutter()}
+            yield _fire(frames, shutters[camera])
 
 
 def shots_batch(frames: DataFrame) -> DataFrame:
-    """T1 over a table: the same shots as one trigger over all of it.
+    """T1 over a table: the same shots as one trigger over all of it; repeated frames count once.
 
-    The machine is sequential by nature, so one camera's day is the unit: days are independent (a shutter starts armed), which
-    bounds a group by the frames of one camera and day.
+    The machine is sequential by nature and its brightest sharpness never quite forgets, so nothing but a camera's whole past gives
+    its state. A camera's frames therefore stream through one task in sorted batches, of which only the state is kept: memory is that
+    of one batch, and a camera's time that of a single pass.
     """
-    unique = frames.select("camera", "ts", "motion", "sharp", "mean").where("camera is not null and ts is not null and motion is not null and mean is not null").distinct()
-    return unique.withColumn("day", F.to_date("ts")).groupBy("camera", "day").applyInPandas(_sliced, SHOTS)
+    ordered = _frames(frames).distinct().repartition("camera").sortWithinPartitions("camera", "ts", "motion", "mean", "sharp")
+    return ordered.mapInPandas(_in_order, SHOTS)
 
 
 def work_queue(spark: SparkSession, source: str, schema: str, done_path: str, checkpoint: str, process) -> None:
