@@ -502,6 +502,8 @@ def d16_running_heads(spark, d):
 # letters of several bytes as letters of one, as the SQL counts edits in bytes
 _WIDE = "абвгдеёжзийклмнопрстуфхцчшщъыьэюяўқғҳіјѕԁӏһöüçşğñáàâäéèêíóôúʻʼ"
 _NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}"[: len(_WIDE)]
+_WIDE += "".join(chr(0xFF41 + i) for i in range(26))
+_NARROW += "".join(chr(1 + i) for i in range(26))
 
 
 @query(f"""
@@ -785,9 +787,9 @@ s as (
   select camera, n, case when fired then 0 else still end, case when fired then 0 when not was and motion > 7 then moving + 1 else moving end, case when fired then false when was then true else not motion > 7 and moving >= 2 and motion < 3 and ms - last > 900 end, case when fired then ms else last end, best, fired
   from (select f.camera, f.n, f.ms, f.motion, s.armed as was, s.moving, s.last, greatest(s.best * 0.995, f.sharp) as best, case when s.armed then case when f.motion < 2.2 then s.still + 1 else 0 end else s.still end as still,
     s.armed and f.motion < 2.2 and s.still + 1 >= 9 and f.sharp >= greatest(s.best * 0.995, f.sharp) * 0.72 and f.mean > 35 as fired from s join f on f.camera = s.camera and f.n = s.n + 1))
-select f.camera, f.ts, f.own as sharp from s join f on f.camera = s.camera and f.n = s.n where s.fired""")
+select f.camera, epoch_us(f.ts) as at, f.own as sharp from s join f on f.camera = s.camera and f.n = s.n where s.fired""")
 def t1_shots(spark, d):
     """The automatic shutter over the frames."""
     from leafmill.streaming.shots import shots_batch
 
-    return shots_batch(table(spark, d, "frames"))
+    return shots_batch(table(spark, d, "frames")).select("camera", F.unix_micros("ts").alias("at"), "sharp")
