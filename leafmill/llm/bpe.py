@@ -182,3 +182,23 @@ def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary:
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
+
+
+def _decode(ranks: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens = {i: t for t, i in ranks.value.items()}
+    for batch in batches:
+        texts = [b"".join(tokens[i] for i in ids).decode("utf-8") for ids in batch.column("ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+def decode(encoded: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id`` and the ``text`` that each list of ``ids`` stands for; an empty list gives ''."""
+    return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, shared_ranks(encoded.sparkSession, tokenizers, vocabulary)), "doc_id bigint, text string")
+
+
+SQL = {"p6_round_trip": "select doc_id, coalesce(text, '') as text from documents"}
+
+
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again; null texts come out as ''."""
+    return decode(p6_ids(spark, sf_dir))

@@ -223,3 +223,21 @@ def p7_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = p7_bins(spark, sf_dir).where("tokens > 0")
     bins = items.groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("filled"), F.count("*").alias("pieces"), F.max("part").alias("parts"))
     return bins.groupBy("container", "capacity").agg(F.count("*").alias("bins"), F.sum("pieces").alias("pieces"), (F.sum("filled") / (F.count("*") * F.col("capacity"))).alias("filled"), F.max("filled").alias("fullest"))
+
+
+SQL = {
+    "p7_checks": "select container, capacity, (select count(*) from documents) as documents, cast(0 as bigint) as too_full, cast(0 as bigint) as split, cast(0 as bigint) as apart from containers",
+}
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per container kind what must hold of the bins: all documents are in, and no bin is too full, no document split that fits, none with its parts missing or double."""
+    items = stage(p7_bins(spark, sf_dir))
+    kind = ["container", "capacity"]
+    bins = items.groupBy(*kind, "bin").agg(F.sum("tokens").alias("filled")).groupBy(*kind).agg(F.count_if(F.col("filled") > F.col("capacity")).alias("too_full"))
+    docs = items.groupBy(*kind, "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("part").alias("last"), F.count_distinct("part").alias("parts"))
+    held = docs.groupBy(*kind).agg(
+        F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("split"),
+        F.count_if((F.col("pieces") != F.col("last") + 1) | (F.col("parts") != F.col("pieces"))).alias("apart"),
+    )
+    return held.join(bins, kind).select(*kind, "documents", "too_full", "split", "apart")

@@ -16,4 +16,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    """SQL where it can express a result; the other queries are tested against brute force, round trips and fixtures."""
+    out = {}
+    for name in _MODULES:
+        out |= getattr(import_module(f"leafmill.llm.{name}"), "SQL", {})
+    return out
