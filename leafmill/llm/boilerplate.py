@@ -19,10 +19,12 @@ from leafmill.plans.staging import small, stage, table
 MIN_LETTERS, MIN_PAGES, MIN_SHARE = 15, 3, 0.2
 #: Letters at either end of a word by which the templates of a slot are told apart, and of a line's only word.
 _ENDS, _LONE = 2, 6
+#: A misread word hides at most so many of a line's letters, or all of them and is a ``#`` of its template.
+_HIDDEN = 4
 
 
-def _slots(words: Column, sides: Column) -> Column:
-    """(slot, word) of the places of a template: all other words and one end of the word in it; a lone word's slots are its ends.
+def _places(words: Column, sides: Column) -> Column:
+    """(rest, word, ends) of the places of a template: a hash of all other words, the word in it and either end of that; a lone word's ends are longer.
 
     ``sides`` has bit 1 if the first half of the template is shared, and bit 2 if the second is; a misread word is in the other half.
     """
@@ -35,18 +37,19 @@ def _slots(words: Column, sides: Column) -> Column:
         short, none = F.when((n <= 2 * _ENDS + 1) & ~lone, end(1)), F.array().cast("array<string>")
         ends = F.concat(F.coalesce(short, none), F.when(lone, end(_LONE)).when(n >= 2 * _ENDS, end(_ENDS)).otherwise(none))
         wanted = lone | (sides.bitwiseAND(F.when(2 * i < F.size(words), 2).otherwise(1)) != 0)
-        return F.transform(F.when(wanted, ends).otherwise(none), lambda e: F.struct(F.xxhash64(i, F.size(words), rest(i), e).alias("slot"), word.alias("word")))
+        return F.when(wanted, F.struct(F.xxhash64(i, F.size(words), rest(i)).alias("rest"), word.alias("word"), ends.alias("ends")))
 
-    return F.flatten(F.transform(words, at))
+    return F.transform(words, at)
 
 
 def repeated_templates(lines: DataFrame, pages_of: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_letters: int = MIN_LETTERS) -> DataFrame:
     """(path) of the templates that stand on many pages of their project; a path names its project too.
 
     ``lines`` are rows of ``page_lines``; ``pages_of`` has ``project`` and its number of pages ``of``. Pages are counted
-    once however often a line or a page is repeated. A line's letters are those of its longest form, so that misreadings hide none. Ties between templates of one slot go to the smaller path.
+    once however often a line or a page is repeated. The letters of templates that are one line are those of its longest form, so that misreadings hide none. Ties between templates of one slot go to the smaller path.
     """
-    long = lines.where((F.col("b") >= 0) & (F.col("tokens") > 0))
+    whole = (F.col("letters") >= min_letters - _HIDDEN) | F.contains("key", F.lit("#"))
+    long = lines.where((F.col("b") >= 0) & (F.col("tokens") > 0) & whole)
     both = F.explode(F.array("front", "back")).alias("leaf")
     leaves = (
         long.select("pos", "letters", both).groupBy("leaf").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("letters").alias("letters"))
@@ -57,7 +60,8 @@ def repeated_templates(lines: DataFrame, pages_of: DataFrame, min_pages: int = M
     near = long.select("project", "pos", "path", "key", "letters", sided).select("project", "pos", "path", "key", "letters", "l.*").join(leaves, "leaf", "left_semi")
     at = stage(near.groupBy("project", "path", "pos", "key").agg(F.max("letters").alias("letters"), F.bit_or("side").alias("sides")))
     keys = at.groupBy("project", "path", "key").agg(F.count("*").alias("pages"), F.bit_or("sides").alias("sides"))
-    slots = keys.select("project", "path", "pages", F.explode(_slots(F.split("key", " "), F.col("sides"))).alias("s")).select("project", "path", "pages", "s.word", "s.slot")
+    places = keys.select("project", "path", "pages", F.explode(_places(F.split("key", " "), F.col("sides"))).alias("s")).where("s is not null").select("project", "path", "pages", "s.*")
+    slots = places.select("project", "path", "pages", "word", "rest", F.explode("ends").alias("end")).select("project", "path", "pages", "word", F.xxhash64("rest", "end").alias("slot"))
     top = F.max(F.struct("pages", (-F.col("path")).alias("less"), "path", "word"))
     tops = slots.groupBy("project", "slot").agg(top.alias("top"), F.count("*").alias("n")).where("n > 1").select("project", "slot", F.col("top.path").alias("root"), F.col("top.pages").alias("root_pages"), F.col("top.word").alias("root_word"))
     apart = F.levenshtein("word", "root_word")
