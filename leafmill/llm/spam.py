@@ -10,6 +10,7 @@ stretches whose perplexity is abnormally high or low, by exact quantiles over th
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -42,12 +43,12 @@ _NAMED = 8
 _PRODUCT = 10
 
 _LINK = regex.compile(r"(?i:(https?:)?//\S+|www\.\S+)|\b[\w-]+(\.[\w-]+)*\.[a-z]{2,24}\b(/\S*)?|\b[\w-]+ ?\[\.\] ?\w+")
-_LINK_HINT = regex.compile(r"//|(?i:www)\.|\[\.\]|\w\.[a-z]{2}")
+_LINK_HINT = re.compile(r"//|[wW]{3}\.|\[\.\]|\w\.[a-z]{2}")
 _PRICE = regex.compile(r"\d[\d ]*(\$|€|₽|UZS|USD|EUR|RUB|soʻm|so'm|сўм|сум|руб)|[$€]\s?\d", regex.I)
 _NUMBER = regex.compile(r"^[\d.,:/%–-]+$")
 _CITED = regex.compile(r"\b(1[89]|20)\d\d[.,]")
 _PLAIN_DOMAIN = regex.compile(r"^[^/:»(\[<]*\p{L}\s+[\w-]+\.[a-z]+\W*$", regex.I)
-_INVISIBLE = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff"))
+_INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]+")
 _SEGMENT = regex.compile(r"\s+[•|·]\s+|  +")
 _CURRENCY = frozenset("$ € ₽ UZS USD EUR RUB soʻm so'm сўм сум руб".split())
 #: What an entry of a list begins with.
@@ -147,7 +148,7 @@ class Classes:
     def items(self, text: str) -> list[tuple[list[str], list[str]]]:
         """(tokens, signs of their classes) of every item: of every line, or of what signs or wide blanks part it into."""
         # in print form, so that wide letters and invisible marks hide nothing
-        lines = [line for line in unicodedata.normalize("NFKC", text).translate(_INVISIBLE).split("\n") if line.strip()]
+        lines = [line for line in _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).split("\n") if line.strip()]
         heard = Counter(lines)
         refrains = 3 * len(heard) >= len(lines)
         out: list[tuple[list[str], list[str]]] = []
