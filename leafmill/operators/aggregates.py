@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.numbers import parse_number
@@ -98,6 +98,15 @@ def average_if(tested: Column, condition: str, averaged: Column, numeric: bool =
     return F.avg(F.when(criterion(tested, condition, numeric), averaged))
 
 
+def gathered(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
+    """The ``values`` of each key in order, such as the marks of a page; null values are left out.
+
+    A key's values come together in one row, so keys must be as fine as pages are.
+    """
+    one = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    return rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), one))), lambda s: s["v"]).alias("values"))
+
+
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"SUM": sheet_sum, "AVERAGE": sheet_average, "MIN": sheet_min, "MAX": sheet_max, "COUNT": count_numbers, "COUNTA": count_filled}
 
 

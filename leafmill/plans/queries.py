@@ -586,7 +586,7 @@ def d1_analyse_pages(spark, d):
     w = pages.select(F.concat_ws("/", "project", F.col("pos").cast("string")).alias("page_id"), "width", "height", F.coalesce("confidence", F.lit(-1)).alias("conf"), F.posexplode("words").alias("word", "o"))
     words = w.where("o.t is not null").select(
         "page_id", "width", "height", F.lit(0).alias("block"), F.lit(0).alias("par"), F.col("o.b").alias("line"), "word", F.col("o.t").alias("text"), F.col("o.x").alias("l"), F.col("o.y").alias("t"), (F.col("o.x") + F.col("o.w")).alias("r"),
-        (F.col("o.y") + F.col("o.h")).alias("b"), F.greatest("conf", F.lit(60)).alias("conf"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.col("o.s").cast("double").alias("size"),
+        (F.col("o.y") + F.col("o.h")).alias("b"), F.when(F.col("conf") < 0, 60).otherwise(F.col("conf")).alias("conf"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.col("o.s").cast("double").alias("size"),
     )
     return analyse_pages(words).select("page_id", "idx", "type", "align", F.concat_ws("", F.transform("spans", lambda s: s["text"])).alias("text"))
 
@@ -594,8 +594,8 @@ def d1_analyse_pages(spark, d):
 @query("select source, title, string_agg(fmt, ',' order by doc_id) as fmts from documents where title is not null group by source, title")
 def a13_groups(spark, d):
     """Items gathered by key, in order."""
-    fmts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "fmt"))), lambda s: s["fmt"]), ",")
-    return table(spark, d, "documents").where("title is not null").groupBy("source", "title").agg(fmts.alias("fmts"))
+    groups = A.gathered(table(spark, d, "documents").where("title is not null"), ["source", "title"], "doc_id", "fmt")
+    return groups.select("source", "title", F.array_join("values", ",").alias("fmts"))
 
 
 @query("select c_custkey, c_name, min(o_orderkey) as path from customer join orders on o_custkey = c_custkey group by all")
@@ -718,7 +718,8 @@ def k8_unique_names(spark, d):
 @query("select doc_id, sha1(text) as digest from documents where text is not null")
 def k9_digests(spark, d):
     """K9."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("digest"))
+    files = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    return K.digests(files).withColumnRenamed("name", "doc_id")
 
 
 # ---------------------------------------------------------------- signals

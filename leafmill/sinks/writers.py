@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import strip
 from leafmill.operators.formula import index_to_letters
+from leafmill.plans.staging import stage
 
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -142,3 +143,28 @@ def text_to_cells(pages: DataFrame) -> DataFrame:
 def save(files: DataFrame, path: str) -> None:
     """Write (name, content) rows as a Parquet table of files (K7: Spark commits it atomically)."""
     files.write.mode("overwrite").parquet(path)
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """K9: (name, digest) of (name, content); a null content has none."""
+    return files.select("name", F.sha1("content").alias("digest"))
+
+
+def save_verified(files: DataFrame, path: str, opened: DataFrame | None = None) -> DataFrame:
+    """K9: ``files`` saved at ``path`` and read back: their digests. A table that does not read back as it was written is an error.
+
+    ``opened`` (name, digest) are the digests of the files as they were opened: if one of them has changed at ``path`` since, nothing is
+    written and the names are told. Names that are new, or no longer there, are no conflict.
+    """
+    spark = files.sparkSession
+    if opened is not None:
+        now = digests(spark.read.parquet(path)).withColumnRenamed("digest", "now")
+        changed = [r["name"] for r in opened.join(now, "name").where("not digest <=> now").select("name").orderBy("name").limit(10).collect()]
+        if changed:
+            raise FileExistsError(f"changed since they were opened: {changed}")
+    new = stage(files)
+    save(new, path)
+    found, wanted = digests(spark.read.schema(new.schema).parquet(path)), digests(new)
+    if not wanted.exceptAll(found).isEmpty() or not found.exceptAll(wanted).isEmpty():
+        raise OSError(f"{path} does not read back as it was written")
+    return found
