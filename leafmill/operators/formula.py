@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -182,7 +183,9 @@ class Parser:
         return out
 
 
+@lru_cache(50_000)
 def parse(formula: str) -> Node:
+    """The tree of a formula; trees are only read, so workbooks of equal formulas share them."""
     return Parser(formula.removeprefix("=")).parse()
 
 
@@ -450,7 +453,6 @@ class Workbook:
         self.names: dict[str, int] = {}
         self.raw: dict[tuple[int, int, int], Any] = {}
         self.formulas: dict[tuple[int, int, int], Node | SheetError] = {}
-        self.rows: dict[int, dict[int, set[int]]] = {}
         for c in cells:
             at = (c["sheet"], c["row"], c["col"])
             if c.get("sheet_name"):
@@ -466,7 +468,6 @@ class Workbook:
             elif c.get("kind") in (None, "n", "num") and is_numeric(raw):
                 raw = to_number(raw)
             self.raw[at] = raw
-            self.rows.setdefault(at[0], {}).setdefault(at[1], set()).add(at[2])
         self.done: dict[tuple[int, int, int], Any] = {}
 
     def keys(self, ref: Ref, own: int) -> list[tuple[int, int, int]]:
