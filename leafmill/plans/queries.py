@@ -582,13 +582,15 @@ def d1_analyse_pages(spark, d):
     """Words of recognised pages to blocks; every printed line of one page is in one paragraph group."""
     from leafmill.operators.pagelayout import analyse_pages
 
-    pages = table(spark, d, "ocr_page").select("project", "pos", "width", "height", "confidence", "words").distinct()
-    w = pages.select(F.concat_ws("/", "project", F.col("pos").cast("string")).alias("page_id"), "width", "height", F.coalesce("confidence", F.lit(-1)).alias("conf"), F.posexplode("words").alias("word", "o"))
+    pages = table(spark, d, "ocr_page").where("size(words) > 0").select(F.concat_ws("/", "project", F.col("pos").cast("string")).alias("page_id"), F.struct("project", "pos", "width", "height", "confidence", "words").alias("page"))
+    # one shuffle, of whole pages: repeated rows go, rows of one page come together and stay so
+    whole = pages.groupBy("page_id").agg(F.sort_array(F.collect_set("page")).alias("pages")).select("page_id", F.explode("pages").alias("page")).select("page_id", "page.*")
+    w = whole.select("page_id", "width", "height", F.coalesce("confidence", F.lit(-1)).alias("conf"), F.posexplode("words").alias("word", "o"))
     words = w.where("o.t is not null").select(
         "page_id", "width", "height", F.lit(0).alias("block"), F.lit(0).alias("par"), F.col("o.b").alias("line"), "word", F.col("o.t").alias("text"), F.col("o.x").alias("l"), F.col("o.y").alias("t"), (F.col("o.x") + F.col("o.w")).alias("r"),
         (F.col("o.y") + F.col("o.h")).alias("b"), F.when(F.col("conf") < 0, 60).otherwise(F.col("conf")).alias("conf"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.col("o.s").cast("double").alias("size"),
     )
-    return analyse_pages(words).select("page_id", "idx", "type", "align", F.concat_ws("", F.transform("spans", lambda s: s["text"])).alias("text"))
+    return analyse_pages(words, together=True).select("page_id", "idx", "type", "align", F.concat_ws("", F.transform("spans", lambda s: s["text"])).alias("text"))
 
 
 @query("select source, title, string_agg(fmt, ',' order by doc_id) as fmts from documents where title is not null group by source, title")
