@@ -45,6 +45,25 @@ def test_unmarked_entries_need_a_run():
     assert kinds == ["list"] * 4 + ["prose"] * 2
 
 
+def test_spellings_counted_with_the_lines(spark):
+    rows = [page("p", 0, "katta suv katta", "keldi 1987. suv-"), page("p", 1, "suv keldi"), page("p", 1, "suv keldi"), page("q", 1, "uzun"), page("q", 1, "uzun"), ("p", 2, "uzb", [("PARAGRAPH", [("suv uzun",)])], None, "x"), ("p", 3, None, None, [(None, 1), ("", 1)], "x")]
+    pages = frame(spark, *rows)
+    expected = {}
+    for project, pos, _, _, words, _ in rows:
+        for t, _ in words or ():
+            expected.setdefault(t, []).append((project, pos))
+    got = page_lines(pages, spelled=True).selectExpr("inline(spelled)").groupBy("t").agg({"n": "sum", "lo": "min", "hi": "max"}).collect()
+    assert {r["t"]: (r["sum(n)"], r["min(lo)"] < r["max(hi)"]) for r in got} == {t: (len(at), len(set(at)) > 1) for t, at in expected.items()}
+    rest = lambda df: sorted(map(str, df.drop("spelled").collect()))
+    assert rest(page_lines(pages, spelled=True)) == rest(page_lines(pages))
+    assert page_lines(pages.limit(0), spelled=True).collect() == []
+
+
+@pytest.mark.parametrize("line, expected", [("Katta daryo . . . . .", "list"), ("Katta daryo ....", "list"), ("Katta daryo keldi.", "prose"), ("Suv bor…… 12", "list"), ("7) Katta daryo", "list"), ("a. Katta daryo", "list"), ("Katta daryo, suvlar 31, 230.", "list"), ("Katta daryo ____.", "list")])
+def test_kinds_by_ends(line, expected):
+    assert kind(line) == expected
+
+
 def boilerplate(spark, pages, n=10, misread=()):
     rows = []
     for pos in range(n):
